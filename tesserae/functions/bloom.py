@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.session import Scratch
+
 #: Bits of the largest filter that is broadcast (8 MiB); with more keys it grows no further and only lets more through.
 MAX_BITS = 1 << 26
 
@@ -26,24 +28,25 @@ def _expression(spark: SparkSession, column: Column):
     return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
 
 
-def bloom_of(df: DataFrame, key: Column, rows: int, bits_per_key: int = 12) -> bytes | None:
-    """A filter of the 64-bit ``key`` over all rows of ``df``, at most MAX_BITS long; None of no rows.
-
-    Partial filters are merged on the executors; one value reaches the driver.
-    """
+def bloom_of(df: DataFrame, key: Column, rows: int, bits_per_key: int = 12) -> DataFrame:
+    """A filter of the 64-bit ``key`` over all rows of ``df``, at most MAX_BITS long: one row, one column ``bloom``,
+    null of no rows. Partial filters are merged on the executors, and the result is written to scratch."""
     spark = df.sparkSession
     bits = max(1024, min(MAX_BITS, 1 << math.ceil(math.log2(max(1, rows) * bits_per_key))))
     items = max(1, min(rows, bits // bits_per_key))
     hashed = df.select(key.alias("h"))
-    catalyst = spark._jvm.org.apache.spark.sql.catalyst.expressions
-    plan = catalyst.aggregate.BloomFilterAggregate(
+    plan = spark._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
         _expression(spark, F.col("h")), _expression(spark, F.lit(items).cast("long")), _expression(spark, F.lit(bits).cast("long"))
     )
-    found = hashed.agg(_column(spark, plan.toAggregateExpression()).alias("bloom")).first()
-    return bytes(found["bloom"]) if found and found["bloom"] is not None else None
+    return Scratch(spark, "bloom").save(hashed.agg(_column(spark, plan.toAggregateExpression()).alias("bloom")))[0]
 
 
-def might_contain(spark: SparkSession, bloom: bytes, key: Column) -> Column:
-    """Whether ``key`` may be among the filter's keys; false is certain."""
-    literal = _expression(spark, F.lit(bytearray(bloom)))
-    return _column(spark, spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(literal, _expression(spark, key)))
+def might_contain(bloom: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be among the filter's keys; false is certain.
+
+    The filter reaches the tasks as a scalar subquery's value. As a literal it would be spelt out in every
+    description of the plan.
+    """
+    spark = bloom.sparkSession
+    found = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(_expression(spark, bloom.scalar()), _expression(spark, key))
+    return F.coalesce(_column(spark, found), F.lit(False))

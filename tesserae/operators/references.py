@@ -46,8 +46,9 @@ def orphans(
     passed, refused = made, None
     if available(spark):
         bloom = bloom_of(spans, F.xxhash64("_scope", "_key"), spans.count())
-        maybe = might_contain(spark, bloom, hashed) if bloom is not None else F.lit(False)
-        passed, refused = made.where(maybe), made.where(~maybe).withColumn("reason", F.lit("missing"))
+        # Written once, as both sides are read again.
+        sifted, _ = Scratch(spark, "references").save(made.withColumn("_maybe", F.coalesce(might_contain(bloom, hashed), F.lit(False))))
+        passed, refused = sifted.where("_maybe").drop("_maybe"), sifted.where("not _maybe").drop("_maybe").withColumn("reason", F.lit("missing"))
     # One row per record, pre-aggregated: enough for every record with a single life span.
     records = spans.groupBy("_scope", "_key").agg(
         F.min("_b").alias("_first"), F.max("_e").alias("_last"), F.count_distinct("_b", "_e").alias("_spans")
