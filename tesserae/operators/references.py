@@ -6,7 +6,8 @@ never registered. Only references it lets through are joined exactly.
 Defined results: null and empty references are no references. A reference with a null
 scope matches no record and is missing. Without a time it is not held by any record: late,
 or missing if there is no record. A record without a first time never begins.
-Repeated rows count each. An empty registry makes every reference missing.
+Repeated rows count each. Columns of any name are kept, but for ``reason``, which is
+replaced. An empty registry makes every reference missing.
 """
 
 from __future__ import annotations
@@ -38,11 +39,15 @@ def orphans(
     before its time and did not end before it. Reason ``deleted``: some span had begun by then.
     """
     spark = refs.sparkSession
-    made = refs.where(F.col(ref).isNotNull() & (F.col(ref) != ""))
+    kept = [c for c in refs.columns if c.lower() != "reason"]
+    # The rows travel as one struct, so that their columns cannot clash with those made here.
+    made = refs.where(F.col(ref).isNotNull() & (F.col(ref) != "")).select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(scope).alias("scope"), F.col(ref).alias("ref"), F.col(at).alias("at")
+    )
     spans = registry.where(F.col(scope).isNotNull() & F.col(key).isNotNull()).select(
         F.col(scope).alias("_scope"), F.col(key).alias("_key"), F.col(begins).alias("_b"), F.coalesce(F.col(ends), F.lit(FAR).cast(registry.schema[ends].dataType)).alias("_e")
     )
-    hashed = F.xxhash64(F.col(scope), F.col(ref))
+    hashed = F.xxhash64("scope", "ref")
     passed, refused = made, None
     if available(spark):
         bloom = bloom_of(spans, F.xxhash64("_scope", "_key"), spans.count())
@@ -51,16 +56,16 @@ def orphans(
         passed, refused = sifted.where("_maybe").drop("_maybe"), sifted.where("not _maybe").drop("_maybe").withColumn("reason", F.lit("missing"))
     # One row per record, pre-aggregated: enough for every record with a single life span.
     records = spans.groupBy("_scope", "_key").agg(
-        F.min("_b").alias("_first"), F.max("_e").alias("_last"), F.count_distinct("_b", "_e").alias("_spans")
+        F.min("_b").alias("_first"), F.max(F.when(F.col("_b").isNotNull(), F.col("_e"))).alias("_last"), F.count_distinct("_b", "_e").alias("_spans")
     )
-    records = records.withColumnsRenamed({"_scope": scope, "_key": ref})
-    own = refs.columns
-    judged = salted_join(passed, records, [scope, ref], "left", F.struct(*own), hot_rows)
-    known, begun = F.col("_spans").isNotNull(), F.col("_first") <= F.col(at)
+    records = records.withColumnsRenamed({"_scope": "scope", "_key": "ref"})
+    own = ["_row", "scope", "ref", "at"]
+    judged = salted_join(passed, records, ["scope", "ref"], "left", F.col("_row"), hot_rows)
+    known, begun = F.col("_spans").isNotNull(), F.col("_first") <= F.col("at")
     simple = (
         F.when(~known, "missing")
         .when(~F.coalesce(begun, F.lit(False)), "late")
-        .when(F.col("_last") < F.col(at), "deleted")
+        .when(F.col("_last") < F.col("at"), "deleted")
         .when(F.col("_spans") <= 1, "")
     )
     judged, _ = Scratch(spark, "references").save(judged.select(*own, simple.alias("reason")))
@@ -71,15 +76,15 @@ def orphans(
     # by day, so that neither a record with many spans nor one with many references is a hot group.
     open_ = judged.where(F.col("reason").isNull()).select(*own)
     if open_.isEmpty():
-        return settled
-    more = records.where("_spans > 1").select(F.col(scope).alias("_scope"), F.col(ref).alias("_key"))
+        return settled.select("_row.*", "reason")
+    more = records.where("_spans > 1").select(F.col("scope").alias("_scope"), F.col("ref").alias("_key"))
     many = spans.join(more, ["_scope", "_key"], "left_semi").where(F.col("_b").isNotNull()).distinct()
     day = many.groupBy("_scope", "_key", F.to_date("_b").alias("_day")).agg(F.max("_e").alias("_reach"))
-    ask = open_.select(F.col(scope).alias("_scope"), F.col(ref).alias("_key"), F.to_date(at).alias("_day")).distinct()
+    ask = open_.select(F.col("scope").alias("_scope"), F.col("ref").alias("_key"), F.to_date("at").alias("_day")).distinct()
     by_day = Window.partitionBy("_scope", "_key").orderBy("_day", F.col("_reach").isNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both_days = day.unionByName(ask.withColumn("_reach", F.lit(None).cast(day.schema["_reach"].dataType))).groupBy("_scope", "_key", "_day").agg(F.max("_reach").alias("_reach"))
     before = both_days.withColumn("_carry", F.max("_reach").over(by_day.rowsBetween(Window.unboundedPreceding, -1))).select("_scope", "_key", "_day", "_carry")
-    ticks = open_.select(F.col(scope).alias("_scope"), F.col(ref).alias("_key"), F.col(at).alias("_t")).distinct().withColumn("_day", F.to_date("_t"))
+    ticks = open_.select(F.col("scope").alias("_scope"), F.col("ref").alias("_key"), F.col("at").alias("_t")).distinct().withColumn("_day", F.to_date("_t"))
     marks = (
         ticks.select("_scope", "_key", "_day", "_t", F.lit(1).alias("_asks"), F.lit(None).cast(day.schema["_reach"].dataType).alias("_reach"))
         .unionByName(many.select("_scope", "_key", F.to_date("_b").alias("_day"), F.col("_b").alias("_t"), F.lit(0).alias("_asks"), F.col("_e").alias("_reach")))
@@ -87,7 +92,7 @@ def orphans(
     in_day = Window.partitionBy("_scope", "_key", "_day").orderBy("_t", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     reach = marks.withColumn("_sofar", F.max("_reach").over(in_day)).where("_asks = 1").select("_scope", "_key", "_day", "_t", "_sofar")
     reach = reach.join(before, ["_scope", "_key", "_day"], "left").withColumn("_upto", F.greatest("_sofar", "_carry"))
-    held = reach.select(F.col("_scope").alias(scope), F.col("_key").alias(ref), F.col("_t").alias(at), "_upto")
-    rest = salted_join(open_, held, [scope, ref, at], "left", F.struct(*own), hot_rows)
-    gone = rest.where(F.coalesce(F.col("_upto") < F.col(at), F.lit(True))).select(*own, F.lit("deleted").alias("reason"))
-    return settled.unionByName(gone)
+    held = reach.select(F.col("_scope").alias("scope"), F.col("_key").alias("ref"), F.col("_t").alias("at"), "_upto")
+    rest = salted_join(open_, held, ["scope", "ref", "at"], "left", F.col("_row"), hot_rows)
+    gone = rest.where(F.coalesce(F.col("_upto") < F.col("at"), F.lit(True))).select(*own, F.lit("deleted").alias("reason"))
+    return settled.unionByName(gone).select("_row.*", "reason")

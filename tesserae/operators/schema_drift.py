@@ -21,7 +21,7 @@ import hashlib
 import json
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ from tesserae.session import Scratch
 
 FIELD = "array<struct<field:string,types:string,ids:array<bigint>,vals:array<bigint>>>"
 
+ARROW_FIELD = pa.list_(pa.struct([("field", pa.string()), ("types", pa.string()), ("ids", pa.list_(pa.int64())), ("vals", pa.list_(pa.int64()))]))
+
 #: The lattice: each pair of types has one least type that holds both. Everything fits a string.
 PROMOTION = {frozenset({"integer", "double"}): "double"}
 SPARK_TYPE = {"integer": "bigint", "double": "double", "boolean": "boolean", "string": "string", "array": "string", "null": "string"}
@@ -78,6 +80,15 @@ def _objects(payload: dict) -> list[dict]:
     return [o for o in found if isinstance(o, dict)] if isinstance(found, list) else []
 
 
+def _named(value: dict, record: str, renames: dict[str, str]) -> dict[str, str]:
+    held: dict[str, str] = {}
+    for path, v in leaves(value, record):
+        name = renames.get(path, path)
+        if name == path or name not in held:
+            held[name] = _text(v)
+    return held
+
+
 def _h64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -116,17 +127,18 @@ def headers(files: DataFrame, records: Sequence[str], file_id: str = "file_id",
     hashed object ids and values by which a rename is told from a removal."""
     names = list(records)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [_header(p, names) for p in pdf["payload"]]
-            out = pdf[["file_id", "series", "at"]].assign(fields=found)
-            yield out[[f is not None for f in found]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_header(p, names) for p in batch.column("payload").to_pylist()]
+            read = [i for i, f in enumerate(found) if f is not None]
+            heads = batch.select(["file_id", "series", "at"]).take(pa.array(read, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*heads.columns, pa.array([found[i] for i in read], ARROW_FIELD)], [*heads.schema.names, "fields"])
 
     kind = files.schema[at].dataType.simpleString()
     key = files.schema[series].dataType.simpleString()
     ids = files.schema[file_id].dataType.simpleString()
     read = files.select(F.col(file_id).alias("file_id"), F.col(series).alias("series"), F.col(at).alias("at"), F.col(payload).alias("payload"))
-    parsed = read.mapInPandas(run, f"file_id {ids}, series {key}, at {kind}, fields {FIELD}")
+    parsed = read.mapInArrow(run, f"file_id {ids}, series {key}, at {kind}, fields {FIELD}")
     first = Window.partitionBy("file_id").orderBy("at", "series", F.size("fields"))
     return parsed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
@@ -171,56 +183,98 @@ def differences(files: DataFrame, records: Sequence[str], **names: str) -> DataF
     both = pairs.join(new, "file_id").join(old, "prev_file_id")
     ids = heads.schema["file_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (i, p, *change)
-                for i, p, o, n in zip(pdf["file_id"], pdf["prev_file_id"], pdf["old"], pdf["new"])
-                for change in compare(list(o), list(n))
-            ]
-            yield pd.DataFrame(rows, columns=["file_id", "prev_file_id", "field_path", "change", "old_types", "new_types", "new_field"])
+    names_out = ["field_path", "change", "old_types", "new_types", "new_field"]
 
-    return both.mapInPandas(run, f"file_id {ids}, prev_file_id {ids}, field_path string, change string, old_types string, new_types string, new_field string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("old").to_pylist(), batch.column("new").to_pylist())
+            rows = [(i, *change) for i, (o, n) in enumerate(pairs) for change in compare(o, n)]
+            heads = batch.select(["file_id", "prev_file_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
+            made = [pa.array([r[k + 1] for r in rows], pa.string()) for k in range(len(names_out))]
+            yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, *names_out])
 
+    return both.mapInArrow(run, f"file_id {ids}, prev_file_id {ids}, field_path string, change string, old_types string, new_types string, new_field string")
 
-def fold_schema(files: DataFrame, records: Sequence[str], **names: str) -> dict[str, str]:
+
+def fold_names(changes: DataFrame) -> dict[str, str]:
+    """One name for all the names a field has gone by, out of the log of changes: {other name: name}.
+
+    Names that a rename links are one field, and it keeps the name most often left behind. A
+    rename counts only if most of the renames to its new name say so, as a few equal values can look
+    like one. Only counted pairs of names, the size of a schema, reach the driver.
+    """
+    counted = changes.where("change = 'renamed'").groupBy("field_path", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()
+    to: dict[str, int] = {}
+    left: dict[str, int] = {}
+    for r in counted:
+        to[r["new_field"]] = to.get(r["new_field"], 0) + r["n"]
+        left[r["field_path"]] = left.get(r["field_path"], 0) + r["n"]
+    group: dict[str, str] = {}
+
+    def root(name: str) -> str:
+        while group.setdefault(name, name) != name:
+            name = group[name]
+        return name
+
+    changed = True
+    while changed:  # names that are one already speak with one voice
+        changed, said = False, {}
+        for r in counted:
+            pair = (root(r["field_path"]), r["new_field"])
+            said[pair] = said.get(pair, 0) + r["n"]
+        for (old, new), n in sorted(said.items(), key=lambda x: (-x[1], x[0])):
+            if 2 * n > to[new] and root(old) != root(new):
+                a, b = sorted((root(old), root(new)), key=lambda f: (-left.get(f, 0), f))
+                group[b], changed = a, True
+    return {f: root(f) for f in group if root(f) != f}
+
+
+def fold_schema(files: DataFrame, records: Sequence[str], renames: dict[str, str] | None = None, **names: str) -> dict[str, str]:
     """The union schema: every field with the least type that holds all its values.
 
     The fold runs as an aggregate; only distinct (field, types) pairs, the size of a schema, reach the driver.
     """
+    renames = renames or {}
     pairs = headers(files, records, **names).select(F.explode("fields").alias("f")).select("f.field", "f.types").distinct().collect()
     union: dict[str, str] = {}
     for field, types in sorted((r["field"], r["types"]) for r in pairs):
+        field = renames.get(field, field)
         for kind in types.split(","):
             union[field] = promote(union.get(field, "null"), kind)
     return union
 
 
-def unified(files: DataFrame, records: Sequence[str], schema: dict[str, str] | None = None, keep: Sequence[str] = (), payload: str = "payload", file_id: str = "file_id", **names: str) -> DataFrame:
+def unified(files: DataFrame, records: Sequence[str], schema: dict[str, str] | None = None, renames: dict[str, str] | None = None, keep: Sequence[str] = (), payload: str = "payload", file_id: str = "file_id", **names: str) -> DataFrame:
     """One row per object and record of every readable file, with the union schema's fields as columns.
 
     Columns: file_id, ``keep``, object_pos, object_id, record, then one column per field
     (dots become double underscores), cast to its folded type. A field that a file lacks is null.
+    With ``renames`` (see ``fold_names``) a field has one column, whatever name a file has it under;
+    should an object hold it twice, the name it is folded to comes first.
     """
-    union = fold_schema(files, records, payload=payload, file_id=file_id, **names) if schema is None else schema
+    renames = renames or {}
+    union = fold_schema(files, records, renames, payload=payload, file_id=file_id, **names) if schema is None else schema
     wanted, kept = list(records), list(keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for head in pdf.itertuples(index=False):
-                found = parse(head[-1])
+            for i, text in enumerate(batch.column("_payload").to_pylist()):
+                found = parse(text)
                 for pos, item in enumerate(_objects(found) if found else []):
                     for record in wanted:
                         inner = item.get(record)
                         if isinstance(inner, dict):
                             key = item.get("id")
-                            rows.append((*head[:-1], pos, None if key is None else _text(key), record, {p: _text(v) for p, v in leaves(inner, record)}))
-            yield pd.DataFrame(rows, columns=["file_id", *kept, "object_pos", "object_id", "record", "_leaves"])
+                            rows.append((i, pos, None if key is None else _text(key), record, list(_named(inner, record, renames).items())))
+            heads = batch.select(["file_id", *kept]).take(pa.array([r[0] for r in rows], pa.int64()))
+            types = (pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
+            made = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, "object_pos", "object_id", "record", "_leaves"])
 
     head = [f"file_id {files.schema[file_id].dataType.simpleString()}", *(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in kept)]
-    read = files.select(F.col(file_id).alias("file_id"), *kept, F.col(payload))
-    rows = read.mapInPandas(run, ", ".join([*head, "object_pos int, object_id string, record string, _leaves map<string,string>"]))
+    read = files.select(F.col(file_id).alias("file_id"), *kept, F.col(payload).alias("_payload"))
+    rows = read.mapInArrow(run, ", ".join([*head, "object_pos int, object_id string, record string, _leaves map<string,string>"]))
 
     def cast(field: str, kind: str) -> Column:
         return F.expr(f"try_cast(_leaves['{field}'] as {SPARK_TYPE[kind]})").alias(field.replace(".", "__"))

@@ -53,7 +53,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.unified(table(spark, d, "scene_files"), ["mesh", "animation"], keep=["scene_id", "source_key"])
+    files = table(spark, d, "scene_files")
+    renames = schema_drift.fold_names(schema_drift.differences(files, ["mesh", "animation"]))
+    return schema_drift.unified(files, ["mesh", "animation"], renames=renames, keep=["scene_id", "source_key"])
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -48,6 +48,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_WRITTEN: list[Scratch] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """What this process wrote to the shared folder goes when it ends."""
+    for scratch in _WRITTEN:
+        try:
+            scratch.drop(scratch.root)
+        except Exception:  # noqa: BLE001 - the session may be gone; then the folder's owner cleans up
+            return
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -59,6 +72,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _WRITTEN.append(self)
 
     def save(self, df: DataFrame) -> tuple[DataFrame, str]:
         self._n += 1

@@ -33,6 +33,14 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return found.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_salts"))
 
 
+def same(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Columns equal pair by pair, null to null."""
+    match = F.lit(True)
+    for a, b in zip(left, right):
+        match &= F.col(a).eqNullSafe(F.col(b))
+    return match
+
+
 def salted_join(
     big: DataFrame,
     small: DataFrame,
@@ -45,12 +53,19 @@ def salted_join(
 
     Rows of ``big`` whose key is hot get a salt from ``spread`` (a column that differs
     within the key), and the one row of ``small`` for that key is repeated per salt.
-    Rows with a null key match nothing. ``how`` is inner, left, left_semi or left_anti.
+    Null keys match null keys. ``how`` is inner, left, left_semi or left_anti.
     """
+    keys = list(keys)
+    theirs = [f"_key{i}" for i in range(len(keys))]
+    rest = [c for c in small.columns if c not in keys]
+    other = small.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], *rest)
+    kept = big.columns if how in ("left_semi", "left_anti") else [*big.columns, *rest]
     hot = hot_keys(big.select(*keys), keys, hot_rows)
     if hot is None:
-        return big.join(small, list(keys), how)
+        return big.join(other, same(keys, theirs), how).select(*kept)
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_salts"))
+    hots = [f"_hot{i}" for i in range(len(keys))]
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = big.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts.cast("long")).cast("int")).drop("_salts")
-    right = small.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left = big.join(hot, same(keys, hots), "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts.cast("long")).cast("int")).select(*big.columns, "_salt")
+    right = other.join(hot, same(theirs, hots), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), salts - 1))).select(*other.columns, "_part")
+    return left.join(right, same([*keys, "_salt"], [*theirs, "_part"]), how).select(*kept)
