@@ -5,14 +5,17 @@ words of an item. A passage of at least ``min_words`` words of which at most one
 ``per_error`` is altered or lost holds an unbroken run of ``seed`` = 6 words (25 words
 with three errors leave 22 in four runs), so no passage escapes the scan. Each seed is
 then grown in both directions over the words of document and item, and the longest
-stretch within the error rate decides. Word offsets lead back to the original text.
+stretch within the error rate decides.
+
+``first_word`` and ``last_word`` count the words of the document, and ``span`` leads from them
+back to characters of the original text.
 
 Normalising: layout does not count. Page headers and paragraph numbers are dropped, words divided
 at line ends are joined, case and punctuation are folded, and so are the digits that
 scans confuse with letters.
 
-Defined results: null, blank and short texts leak nothing; repeated documents each
-report; an item with fewer than ``min_words`` words, or without a text, can't be found; of
+Defined results: null, blank and short texts leak nothing; documents that repeat an id report
+as one; an item with fewer than ``min_words`` words, or without a text, can't be found; of
 repeated item ids each text counts under the id. Texts of any length are scanned whole.
 """
 
@@ -23,9 +26,10 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 try:
     import ahocorasick
@@ -71,6 +75,26 @@ def tokens(text: str) -> list[str]:
     return text.split()
 
 
+def span(text: str, first_word: int, last_word: int) -> tuple[int, int]:
+    """The characters of the original text from its word ``first_word`` to its word ``last_word``, both counted as ``tokens`` does."""
+    clean = running(text)  # of the same length as the text
+    at, number, start, end = 0, -1, 0, 0
+    for token in tokens(text):
+        begin = at
+        for letter in token:  # a divided word goes on beyond hyphen and line end
+            at = clean.index(letter, at) + 1
+            if begin is not None:
+                first, begin = at - 1, None
+        if normal(token):
+            number += 1
+            if number == first_word:
+                start = first
+            if number == last_word:
+                end = at
+                break
+    return start, end
+
+
 class Memo(dict):
     """Raw token -> word number; 0 for words no item has, -1 for tokens without a word."""
 
@@ -242,18 +266,22 @@ def leaked(
         raise ValueError(f"{size} bytes of items; give them in parts of at most {MAX_ITEM_BYTES}")
     held = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.select(item_id, item_text).collect()])
     key = uuid.uuid4().hex
-    names = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    doc_type, item_type = documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    arrow_item = to_arrow_type(items.schema[item_id].dataType)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(key, held, min_words, per_error)
-        for pdf in batches:
-            rows = [(d, *found) for d, t in zip(pdf["d"], pdf["t"]) for found in scanner.find(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_words", "first_word", "last_word"])
-
-    read = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    return read.mapInPandas(run, f"doc_id {names[0]}, item_id {names[1]}, n_words int, first_word int, last_word int").groupBy("doc_id", "item_id").agg(
-        F.max("n_words").alias("n_words"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")
-    )
+        for batch in batches:
+            rows = [(i, *found) for i, t in enumerate(batch.column("t").to_pylist()) for found in scanner.find(t)]
+            ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            made = [pa.array([r[k] for r in rows], t) for k, t in ((1, arrow_item), (2, pa.int32()), (3, pa.int32()), (4, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([ids, *made], ["doc_id", "item_id", "n_words", "first_word", "last_word"])
+
+    read = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    found = read.mapInArrow(run, f"doc_id {doc_type}, item_id {item_type}, n_words int, first_word int, last_word int")
+    # Repeated ids: the longest passage of each pair.
+    longest = F.max_by(F.struct("n_words", "first_word", "last_word"), F.struct("n_words", "first_word", "last_word")).alias("_found")
+    return found.groupBy("doc_id", "item_id").agg(longest).select("doc_id", "item_id", "_found.*")
 
 
 _SCANNERS: dict[str, Scanner] = {}

@@ -1,20 +1,13 @@
-"""Token counts by a public tokenizer, exact and fast.
-
-A byte-level BPE splits a text at fixed places before it merges, and one such place is
-before every single blank that a non-blank follows. So a text is cut there, and
-pieces are counted once per worker and remembered: the counts equal those of
-encoding the whole text.
-"""
+"""Token counts by a public tokenizer."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,64 +17,41 @@ TOKENIZER_PATH = os.environ.get("TESSERAE_TOKENIZER", "/opt/tokenizers/byte_bpe_
 #: Fixed value: the split pattern that belongs to this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Pieces one worker remembers; it forgets all beyond that.
-MEMO_SIZE = 500_000
-
-_CUT = re.compile(r" (?=\S)")
-#: Characters that Python takes for blanks and the split pattern doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
-
-
-class Counter(dict):
-    """Piece of text -> number of tokens."""
 
-    def __init__(self, ranks: bytes):
-        super().__init__()
-        import tiktoken
+def encoding(vocabulary: bytes):
+    """The byte-level BPE of a rank file: one token in base64 and its rank a line."""
+    import tiktoken
 
-        pairs = (line.split() for line in ranks.splitlines() if line)
-        self.encoding = tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+    pairs = (line.split() for line in vocabulary.splitlines() if line)
+    return tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
-    def __missing__(self, piece: str) -> int:
-        if len(self) > MEMO_SIZE:
-            self.clear()
-        found = self[piece] = len(self.encoding.encode_ordinary(" " + piece))
-        return found
 
-    def whole(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+_ENCODINGS: dict = {}
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if _ODD.search(text):
-            return self.whole(text)
-        first, *rest = _CUT.split(text)
-        return self.whole(first) + sum(map(self.__getitem__, rest))
 
+def _encoding(key: str, vocabulary):
+    """One encoding per worker process, kept between tasks."""
+    if key not in _ENCODINGS:
+        _ENCODINGS.clear()
+        _ENCODINGS[key] = encoding(vocabulary.value)
+    return _ENCODINGS[key]
 
-_COUNTERS: dict[str, Counter] = {}
 
+def token_counts(documents: DataFrame, text: str = "text", tokenizer_path: str = TOKENIZER_PATH, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(``keep``, n_tokens) of every document, whole texts; null and empty texts have none.
 
-def _counter(key: str, ranks) -> Counter:
-    """One counter per worker process, kept between tasks."""
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = Counter(ranks.value)
-    return _COUNTERS[key]
-
-
-def token_counts(documents: DataFrame, text: str = "text", tokenizer_path: str = TOKENIZER_PATH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(``keep``, n_tokens) of every document; null and empty texts have none. The vocabulary file is read once and broadcast (it is under 2 MB)."""
+    The vocabulary file is read once, on the driver, and broadcast (it is under 2 MB).
+    """
     with open(tokenizer_path, "rb") as file:
-        vocabulary = file.read()
-    ranks, key = documents.sparkSession.sparkContext.broadcast(vocabulary), hashlib.sha256(vocabulary).hexdigest()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = _counter(key, ranks)
-        for pdf in batches:
-            counts = [counter.count(t) for t in pdf["_text"]]
-            yield pdf.drop(columns="_text").assign(n_tokens=counts)
-
-    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*keep, F.col(text).alias("_text")).mapInPandas(run, f"{schema}, n_tokens bigint")
+        content = file.read()
+    vocabulary, key = documents.sparkSession.sparkContext.broadcast(content), hashlib.sha256(content).hexdigest()
+    kept = list(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(key, vocabulary).encode_ordinary
+        for batch in batches:
+            counts = [len(encode(t)) if t else 0 for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(counts, pa.int64())], [*kept, "n_tokens"])
+
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
+    return documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("_text")).mapInArrow(run, f"{schema}, n_tokens bigint")
