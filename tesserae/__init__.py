@@ -1,0 +1 @@
+"""Spark-native scene analytics and training-data operators."""

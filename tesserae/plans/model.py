@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +68,7 @@ def from_deliveries(objects: DataFrame, collections: DataFrame, assets: DataFram
     spark = objects.sparkSession
     at = ["exported_at", "ingested_at", "row_id"]
 
-    def listed(c: str, of: str) -> F.Column:
+    def listed(c: str, of: str) -> Column:
         return F.coalesce(F.filter(c, lambda x: x.isNotNull()), F.array().cast(f"array<{of}>")).alias(c)
 
     current = newest(objects.where(F.col("id").isNotNull()), ["scene_id", "id"], at)

@@ -188,6 +188,25 @@ SQL = {
     "p1_keyframes": f"""SELECT row_id, i::INT AS curve, j::INT AS ordinal, x[j + 1].frame AS frame, x[j + 1].interpolation AS interpolation FROM (
         SELECT row_id, i, x, {_EACH.format("x")} AS j FROM (SELECT row_id, i, m[i + 1].keyframes AS x FROM (SELECT row_id, animation.curves AS m, {_EACH.format("animation.curves")} AS i FROM scene_objects WHERE len(animation.curves) > 0)) WHERE len(x) > 0)
         WHERE x[j + 1] IS NOT NULL""",
+    "p2_found": r"""WITH j AS (SELECT file_id, source_key, exported_at, p FROM (SELECT *, regexp_replace(payload, '^[^{]*', '') AS p FROM scene_files) WHERE json_valid(p)),
+        ob AS (SELECT file_id, x ->> '$.id' AS oid, x FROM (SELECT file_id, unnest(from_json(p -> '$.objects', '["JSON"]')) AS x FROM j)),
+        lv AS (SELECT file_id, oid, r || substr(t.fullkey, 2) AS f, CASE t.type WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'array' END AS ty, t.value::VARCHAR AS v
+            FROM (SELECT file_id, oid, 'mesh' AS r, x -> '$.mesh' AS m FROM ob UNION ALL SELECT file_id, oid, 'animation', x -> '$.animation' FROM ob) q, json_tree(q.m) t
+            WHERE json_type(q.m) = 'OBJECT' AND t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[')),
+        h AS (SELECT file_id, f, string_agg(DISTINCT ty, ',' ORDER BY ty) AS types FROM lv GROUP BY file_id, f),
+        pr AS (SELECT file_id, lag(file_id) OVER (PARTITION BY source_key ORDER BY exported_at, file_id) AS prev FROM j),
+        pairs AS (SELECT * FROM pr WHERE prev IS NOT NULL),
+        gone AS (SELECT p.file_id, p.prev, h.f FROM pairs p JOIN h ON h.file_id = p.prev WHERE NOT EXISTS (SELECT 1 FROM h n WHERE n.file_id = p.file_id AND n.f = h.f)),
+        come AS (SELECT p.file_id, p.prev, h.f FROM pairs p JOIN h ON h.file_id = p.file_id WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.file_id = p.prev AND o.f = h.f)),
+        mt AS (SELECT g.file_id, g.f AS g, c.f AS c, count(*) FILTER (a.ty = b.ty AND a.v = b.v) AS eq, count(*) AS n
+            FROM gone g JOIN come c ON g.file_id = c.file_id AND split_part(g.f, '.', 1) = split_part(c.f, '.', 1)
+            JOIN lv a ON a.file_id = g.prev AND a.f = g.f JOIN lv b ON b.file_id = g.file_id AND b.f = c.f AND b.oid = a.oid GROUP BY ALL),
+        ok AS (SELECT *, row_number() OVER (PARTITION BY file_id, g ORDER BY eq / n DESC, eq DESC, c) AS rg, row_number() OVER (PARTITION BY file_id, c ORDER BY eq / n DESC, eq DESC, g) AS rc FROM mt WHERE 2 * eq > n),
+        rn AS (SELECT * FROM ok WHERE rg = 1 AND rc = 1)
+        SELECT p.file_id, b.f AS field_path, 'retyped' AS change FROM pairs p JOIN h a ON a.file_id = p.prev JOIN h b ON b.file_id = p.file_id AND a.f = b.f WHERE a.types <> b.types
+        UNION ALL SELECT file_id, g, 'renamed' FROM rn
+        UNION ALL SELECT file_id, f, 'removed' FROM gone WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = gone.file_id AND rn.g = gone.f)
+        UNION ALL SELECT file_id, f, 'added' FROM come WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.file_id = come.file_id AND rn.c = come.f)""",
     "p3_runs": _RUNS,
     "p3_found": f"SELECT scene_id, object_id, curve_pos, first_frame, last_frame, n_keys FROM ({_RUNS}) WHERE n_keys >= 3",
     "p4_found": f"""WITH RECURSIVE {_NODES}
@@ -197,6 +216,10 @@ SQL = {
         a AS (SELECT v.kind, v.scene_id, v.parent AS anc, v.id, 1 AS d FROM v JOIN t ON v.kind = t.kind AND v.scene_id = t.scene_id AND v.id = t.id WHERE v.parent IS NOT NULL
               UNION ALL SELECT a.kind, a.scene_id, v.parent, a.id, d + 1 FROM a JOIN v ON a.kind = v.kind AND a.scene_id = v.scene_id AND a.anc = v.id WHERE v.parent IS NOT NULL)
         SELECT kind, scene_id, anc AS node_id, count(*) AS n_descendants, count(CASE WHEN d = 1 THEN 1 END) AS n_children, max(d) AS height FROM a GROUP BY kind, scene_id, anc""",
+    "p4_cycles": f"""WITH RECURSIVE {_NODES},
+        u AS (SELECT v.* FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.kind = v.kind AND t.scene_id = v.scene_id AND t.id = v.id)),
+        w AS (SELECT kind, scene_id, id, parent AS up FROM u UNION SELECT w.kind, w.scene_id, w.id, u.parent FROM w JOIN u ON w.kind = u.kind AND w.scene_id = u.scene_id AND w.up = u.id)
+        SELECT kind, scene_id, id AS node_id, bool_or(id = up) AS on_cycle FROM w GROUP BY kind, scene_id, id""",
     "p5_found": f"WITH {_REFS} SELECT ref_table, row_id, ref_pos, reason, period FROM orphan",
     "p5_report": f"WITH {_REFS} SELECT ref_table, period, reason, count(*) AS n_orphans FROM orphan GROUP BY ALL",
 }
