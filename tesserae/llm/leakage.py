@@ -166,7 +166,8 @@ class Scanner:
 
     def grow(self, item: Sequence[int], words: Sequence[int], so_far: int) -> tuple[list[bool], int]:
         """For each item word whether the document goes on with it, up to where they part; and how many document
-        words that takes. After words that differ, the nearest place counts at which two words agree again."""
+        words that takes. After words that differ, the nearest place counts at which two words agree again, or
+        one if as many words were put in as lost."""
         flags: list[bool] = []
         i = j = errors = kept = reach = 0
         n, m = len(item), len(words)
@@ -178,6 +179,10 @@ class Scanner:
                 continue
             ahead = words[j : j + INSERTED + 2]
             skip = None
+            for t in range(1, min(LOST, n - i - 1, m - j - 1) + 1):
+                if item[i + t] == words[j + t]:
+                    skip = (t, t)
+                    break
             for a in range(min(LOST, n - i - 2) + 1):
                 first = item[i + a]
                 if first in ahead:
@@ -187,10 +192,12 @@ class Scanner:
                             break
             if skip is None:
                 break
-            errors += skip[0]
+            # Words replaced one by one may have true ones between them.
+            between = [skip[0] == skip[1] and item[i + t] == words[j + t] for t in range(skip[0])]
+            errors += skip[0] - sum(between)
             if errors > 3 + (so_far + len(flags)) // 4:
                 break
-            flags += [False] * skip[0]
+            flags += between
             i, j = i + skip[0], j + skip[1]
         return flags[:kept], reach
 
@@ -229,6 +236,8 @@ class Scanner:
                 # A short run that goes on on neither side is no passage; most are such.
                 if n < self.min_words and (
                     set(ours[p + n : p + n + LOST + 1]).isdisjoint(theirs[k + n : k + n + INSERTED + 1])
+                    and not (p + n + 1 < len(item) and k + n + 1 < len(words) and item[p + n + 1] == words[k + n + 1])
+                    and not (p > 1 and k > 1 and item[p - 2] == words[k - 2])
                     and set(ours[max(0, p - LOST - 2) : max(0, p - 1)]).isdisjoint(theirs[max(0, k - INSERTED - 2) : max(0, k - 1)])
                 ):
                     continue
