@@ -65,7 +65,7 @@ class SceneEngine:
     def __init__(self, spark: SparkSession | None = None, reader: str | None = None, read_binary: Callable[[str, Path], str] | None = None):
         self.spark = spark or SparkSession.getActiveSession() or local_session()
         self.reader = reader
-        self.read_binary = read_binary or (lambda program, path: payload.inspect_external(program, "inspect_scene.py", path))
+        self.read_binary = read_binary or (lambda program, path: payload.inspect_external(program, "read_scene.py", path))
 
     # Stages.
 
