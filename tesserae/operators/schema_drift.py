@@ -1,8 +1,9 @@
 """Files whose schemas drift: one consistent table, and a list of every change.
 
-``headers`` reads each file's schema in parallel; ``fold_schema`` folds all of them
+``headers`` reads each file's schema in parallel, once; ``fold_schema`` folds all of them
 through the type lattice; ``unified`` casts every file's records to the union schema;
-``differences`` compares each file with the readable one before it in its series.
+``differences`` compares each file with the readable one before it in its series. The last three
+take the headers of one reading.
 
 A field is a leaf inside a record (``mesh.face_count``, an inner object adds a step, an
 array is one leaf). A file has a field if an object holds a non-null value for it.
@@ -11,59 +12,104 @@ Defined results: a null or unreadable payload (empty, cut short, no JSON object)
 no header and is skipped as a predecessor; stray characters before the first brace and
 after the end of the JSON are ignored; objects without an id count for schemas but not for
 the recognition of renames; of objects that share an id the last one counts there. Rows
-with a null series key form a series. Null times come first. Of rows that repeat a file
-id the earliest exported counts.
+with a null series key form a series. Null times come first. In the log, of rows that repeat a file
+id the earliest exported counts; in the one table each row counts. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.ordered import with_previous
 from tesserae.session import Scratch
 
-FIELD = "array<struct<field:string,types:string,ids:array<bigint>,vals:array<bigint>>>"
-
-ARROW_FIELD = pa.list_(pa.struct([("field", pa.string()), ("types", pa.string()), ("ids", pa.list_(pa.int64())), ("vals", pa.list_(pa.int64()))]))
-
-#: The lattice: each pair of types has one least type that holds both. Everything fits a string.
-PROMOTION = {frozenset({"integer", "double"}): "double"}
-SPARK_TYPE = {"integer": "bigint", "double": "double", "boolean": "boolean", "string": "string", "array": "string", "null": "string"}
+#: ``objects`` are those that hold a record, with the records they hold as bits; ``vals`` has a field's value for each of them,
+#: a letter for its JSON type before its text.
+HEADER = "objects array<struct<pos:int,id:string,held:int>>, fields array<struct<field:string,types:string,size:int,vals:array<string>>>"
+
+#: JSON types by the letter they are marked with.
+TYPES = {"i": "integer", "d": "double", "b": "boolean", "s": "string", "a": "array"}
+#: Texts of values longer than this are compared by their digest.
+LONG = 40
+
+#: The lattice: each pair of types has one least type that holds both. Integers that a double holds exactly are ``integer``, those of
+#: 64 bits ``long``, those of 38 digits ``decimal``. Everything fits a string.
+PROMOTION = {
+    frozenset({"integer", "double"}): "double",
+    frozenset({"integer", "long"}): "long",
+    frozenset({"integer", "decimal"}): "decimal",
+    frozenset({"long", "decimal"}): "decimal",
+}
+SPARK_TYPE = {
+    "integer": "bigint", "long": "bigint", "decimal": "decimal(38,0)", "double": "double", "boolean": "boolean", "string": "string", "array": "string", "null": "string",
+}
+#: What an integer field's greatest value needs, by ``size``.
+SIZES = ("integer", "long", "decimal", "string")
 
 
 def promote(a: str, b: str) -> str:
-    """The least common type of two JSON types."""
+    """The least common type of two types of the lattice."""
     if a == b or b == "null":
         return a
     return b if a == "null" else PROMOTION.get(frozenset({a, b}), "string")
 
 
+class _Huge(str):
+    """The digits of an integer that is too long for Python to read."""
+
+
+def _integer(text: str) -> int | _Huge:
+    return int(text) if len(text) < 4000 else _Huge(text)
+
+
+_DECODER = json.JSONDecoder(parse_int=_integer)
+
+
 def parse(payload: str | None) -> dict | None:
     """The JSON object in a payload, freed of stray characters around it; None if it isn't complete."""
     start = payload.find("{") if payload else -1
     if start < 0:
         return None
     try:
-        found, _ = json.JSONDecoder().raw_decode(payload, start)
+        found, _ = _DECODER.raw_decode(payload, start)
     except (ValueError, RecursionError):
         return None
     return found
 
 
-def json_type(value: object) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int):
-        return "integer"
-    if isinstance(value, float):
-        return "double"
-    return "array" if isinstance(value, list) else "string"
+def _marked(value: object, whole: bool) -> str:
+    """A value as text, after the letter of its JSON type."""
+    if isinstance(value, _Huge):
+        text = "i" + value
+    elif isinstance(value, str):
+        text = "s" + value
+    elif value is True or value is False:
+        return "btrue" if value else "bfalse"
+    elif isinstance(value, int):
+        text = f"i{value}"
+    elif isinstance(value, float):
+        text = f"d{value!r}" if math.isfinite(value) else "d" + json.dumps(value)
+    else:
+        text = "a" + json.dumps(value, sort_keys=True)
+    if whole or len(text) <= LONG:
+        return text
+    return text[0] + "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _size(value: object) -> int:
+    """The place in SIZES of what holds an integer."""
+    if isinstance(value, _Huge):
+        return 3
+    if not isinstance(value, int) or -(1 << 53) <= value <= 1 << 53:
+        return 0
+    return 1 if -(1 << 63) <= value < 1 << 63 else 2 if abs(value) < 10**38 else 3
 
 
 def leaves(value: dict, path: str) -> Iterator[tuple[str, object]]:
@@ -80,115 +126,155 @@ def _objects(payload: dict) -> list[dict]:
     return [o for o in found if isinstance(o, dict)] if isinstance(found, list) else []
 
 
-def _named(value: dict, record: str, renames: dict[str, str]) -> dict[str, str]:
-    held: dict[str, str] = {}
-    for path, v in leaves(value, record):
-        name = renames.get(path, path)
-        if name == path or name not in held:
-            held[name] = _text(v)
-    return held
-
-
-def _h64(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
-def _text(value: object) -> str:
-    if isinstance(value, str):
-        return value
-    return json.dumps(value, sort_keys=True)
-
-
-def _header(payload: str | None, records: Sequence[str]) -> list[dict] | None:
-    found = parse(payload)
-    if found is None:
-        return None
-    types: dict[str, set[str]] = {}
-    held: dict[str, dict[int, int]] = {}
-    for item in _objects(found):
-        key = item.get("id")
-        for record in records:
-            inner = item.get(record)
-            if not isinstance(inner, dict):
-                continue
-            for path, value in leaves(inner, record):
-                kind = json_type(value)
-                types.setdefault(path, set()).add(kind)
-                if key is not None:
-                    held.setdefault(path, {})[_h64(_text(key))] = _h64(f"{kind}:{_text(value)}")
-    return [
-        {"field": f, "types": ",".join(sorted(types[f])), "ids": list(held.get(f, {})), "vals": list(held.get(f, {}).values())}
-        for f in sorted(types)
-    ]
-
-
-def headers(files: DataFrame, records: Sequence[str], file_id: str = "file_id", series: str = "source_key", at: str = "exported_at", payload: str = "payload") -> DataFrame:
-    """(file_id, series, at, fields) of every readable file: its schema, and per field the
-    hashed object ids and values by which a rename is told from a removal."""
+def _id(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, sort_keys=True)
+
+
+class _Headers:
+    """The headers of a batch, gathered as flat Arrow columns."""
+
+    def __init__(self) -> None:
+        self.objects: list[tuple[int, str | None, int]] = []
+        self.objects_upto, self.fields_upto, self.vals_upto = [0], [0], [0]
+        self.fields: list[tuple[str, str, int]] = []
+        self.vals: list[str | None] = []
+
+    def add(self, payload: dict, records: Sequence[str], whole: bool) -> None:
+        columns: dict[str, list[str | None]] = {}
+        sizes: dict[str, int] = {}
+        n = 0
+        for pos, item in enumerate(_objects(payload)):
+            held = 0
+            for bit, record in enumerate(records):
+                inner = item.get(record)
+                if not isinstance(inner, dict):
+                    continue
+                held |= 1 << bit
+                for path, value in leaves(inner, record):
+                    column = columns.setdefault(path, [])
+                    column.extend([None] * (n - len(column)))
+                    column.append(_marked(value, whole))
+                    if type(value) is not str and (size := _size(value)):
+                        sizes[path] = max(size, sizes.get(path, 0))
+            if held:
+                self.objects.append((pos, _id(item.get("id")), held))
+                n += 1
+        self.objects_upto.append(len(self.objects))
+        for path in sorted(columns):
+            column = columns[path]
+            letters = {v[0] for v in column if v is not None}
+            self.fields.append((path, ",".join(sorted(TYPES[x] for x in letters)), sizes.get(path, 0)))
+            self.vals.extend(column)
+            self.vals_upto.append(len(self.vals))
+        self.fields_upto.append(len(self.fields))
+
+    def arrays(self) -> list[pa.Array]:
+        def column(rows: list[tuple], k: int, kind: pa.DataType) -> pa.Array:
+            return pa.array([r[k] for r in rows], kind)
+
+        ints = lambda x: pa.array(x, pa.int32())
+        objects = pa.StructArray.from_arrays([column(self.objects, 0, pa.int32()), column(self.objects, 1, pa.string()), column(self.objects, 2, pa.int32())], ["pos", "id", "held"])
+        vals = pa.ListArray.from_arrays(ints(self.vals_upto), pa.array(self.vals, pa.string()))
+        fields = pa.StructArray.from_arrays([column(self.fields, 0, pa.string()), column(self.fields, 1, pa.string()), column(self.fields, 2, pa.int32()), vals], ["field", "types", "size", "vals"])
+        return [pa.ListArray.from_arrays(ints(self.objects_upto), objects), pa.ListArray.from_arrays(ints(self.fields_upto), fields)]
+
+
+def headers(
+    files: DataFrame, records: Sequence[str], file_id: str = "file_id", series: str = "source_key", at: str = "exported_at", payload: str = "payload", keep: Sequence[str] = (), whole: bool = False
+) -> DataFrame:
+    """(row, file_id, series, at, kept, objects, fields) of every readable file: its schema, and the values by which a rename is told
+    from a removal. ``kept`` is a struct of the ``keep`` columns. ``whole``: long values as they are, as ``unified`` needs them.
+
+    The one reading of the payloads: written to the shared scratch folder, from where all else is made.
+    """
     names = list(records)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_header(p, names) for p in batch.column("payload").to_pylist()]
-            read = [i for i, f in enumerate(found) if f is not None]
-            heads = batch.select(["file_id", "series", "at"]).take(pa.array(read, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*heads.columns, pa.array([found[i] for i in read], ARROW_FIELD)], [*heads.schema.names, "fields"])
-
-    kind = files.schema[at].dataType.simpleString()
-    key = files.schema[series].dataType.simpleString()
-    ids = files.schema[file_id].dataType.simpleString()
-    read = files.select(F.col(file_id).alias("file_id"), F.col(series).alias("series"), F.col(at).alias("at"), F.col(payload).alias("payload"))
-    parsed = read.mapInArrow(run, f"file_id {ids}, series {key}, at {kind}, fields {FIELD}")
-    first = Window.partitionBy("file_id").orderBy("at", "series", F.size("fields"))
-    return parsed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-
-
-def compare(old: Sequence[dict], new: Sequence[dict]) -> list[tuple[str, str, str | None, str | None, str | None]]:
-    """The changes from one header to the next: (field, change, old types, new types, new field)."""
-    before, now = {f["field"]: f for f in old}, {f["field"]: f for f in new}
-    out = [(f, "retyped", before[f]["types"], now[f]["types"], f) for f in before if f in now and before[f]["types"] != now[f]["types"]]
+            found, read = _Headers(), []
+            for i, text in enumerate(batch.column("payload").to_pylist()):
+                content = parse(text)
+                if content is not None:
+                    found.add(content, names, whole)
+                    read.append(i)
+            heads = batch.select(["file_id", "series", "at", "kept"]).take(pa.array(read, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*heads.columns, *found.arrays()], [*heads.schema.names, "objects", "fields"])
+
+    kept = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    read = files.select(F.col(file_id).alias("file_id"), F.col(series).alias("series"), F.col(at).alias("at"), kept.alias("kept"), F.col(payload).alias("payload"))
+    head = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in ("file_id", "series", "at", "kept"))
+    parsed = read.mapInArrow(run, f"{head}, {HEADER}")
+    return Scratch(files.sparkSession, "schema-drift").save(parsed.select(F.monotonically_increasing_id().alias("row"), "*"))[0]
+
+
+def compare(before: Mapping[str, str], now: Mapping[str, str], old: Callable[[str], dict], new: Callable[[str], dict]) -> list[tuple[str, str, str | None, str | None, str | None]]:
+    """The changes from one header to the next: (field, change, old types, new types, new field).
+
+    ``before`` and ``now`` have each field's types; ``old`` and ``new`` give a field's values by object id.
+    """
+    out = [(f, "retyped", before[f], now[f], f) for f in before if f in now and before[f] != now[f]]
     gone, come = [f for f in before if f not in now], [f for f in now if f not in before]
     matches = []
     for g in gone:
-        held = dict(zip(before[g]["ids"], before[g]["vals"]))
-        for c in come:
-            if g.split(".", 1)[0] != c.split(".", 1)[0]:
-                continue
-            both = [held[i] == v for i, v in zip(now[c]["ids"], now[c]["vals"]) if i in held]
+        near = [c for c in come if g.split(".", 1)[0] == c.split(".", 1)[0]]
+        held = old(g) if near else {}
+        for c in near:
+            both = [held[i] == v for i, v in new(c).items() if i in held]
             if both and 2 * sum(both) > len(both):
                 matches.append((-sum(both) / len(both), -sum(both), g, c))
     renamed: dict[str, str] = {}
     for _, _, g, c in sorted(matches):
         if g not in renamed and c not in renamed.values():
             renamed[g] = c
-    out += [(g, "renamed", before[g]["types"], now[c]["types"], c) for g, c in renamed.items()]
-    out += [(g, "removed", before[g]["types"], None, None) for g in gone if g not in renamed]
-    out += [(c, "added", None, now[c]["types"], c) for c in come if c not in renamed.values()]
+    out += [(g, "renamed", before[g], now[c], c) for g, c in renamed.items()]
+    out += [(g, "removed", before[g], None, None) for g in gone if g not in renamed]
+    out += [(c, "added", None, now[c], c) for c in come if c not in renamed.values()]
     return sorted(out)
 
 
-def differences(files: DataFrame, records: Sequence[str], **names: str) -> DataFrame:
-    """(file_id, prev_file_id, field_path, change, old_types, new_types, new_field): the ordered log of changes.
+class _Side:
+    """One side of a batch of pairs of headers; values become Python's only where they are asked for."""
+
+    def __init__(self, fields: pa.ListArray, objects: pa.ListArray):
+        self.upto, self.objects_upto = fields.offsets.to_pylist(), objects.offsets.to_pylist()
+        self.names, self.types = (fields.values.field(k).to_pylist() for k in ("field", "types"))
+        self.vals, self.ids = fields.values.field("vals"), objects.values.field("id")
+
+    def types_of(self, i: int) -> dict[str, str]:
+        a, b = self.upto[i], self.upto[i + 1]
+        return dict(zip(self.names[a:b], self.types[a:b]))
+
+    def values_of(self, i: int) -> Callable[[str], dict]:
+        def held(field: str) -> dict:
+            at = self.names.index(field, self.upto[i], self.upto[i + 1])
+            a, b = self.objects_upto[i], self.objects_upto[i + 1]
+            vals, ids = self.vals[at].as_py(), self.ids.slice(a, b - a).to_pylist()
+            return {k: v for k, v in zip(ids, vals) if k is not None and v is not None}
 
-    The parsed headers are written once to the shared scratch folder. Who precedes whom is found
-    on keys alone, in blocks of a day; the headers then meet by file id, so that
+        return held
+
+
+def changes(heads: DataFrame) -> DataFrame:
+    """(file_id, prev_file_id, field_path, change, old_types, new_types, new_field): the ordered log of changes between headers.
+
+    Who precedes whom is found on keys alone, in blocks of a day; the headers then meet by row, so that
     a series with very many files is no hot key.
     """
-    scratch = Scratch(files.sparkSession, "schema-drift")
-    heads, _ = scratch.save(headers(files, records, **names))
-    order = with_previous(heads.select("file_id", "series", "at"), ["series"], F.to_date("at"), ["at", "file_id"], ["file_id"])
-    pairs = order.where(F.col("prev_file_id").isNotNull()).select("file_id", "prev_file_id")
-    new = heads.select("file_id", F.col("fields").alias("new"))
-    old = heads.select(F.col("file_id").alias("prev_file_id"), F.col("fields").alias("old"))
-    both = pairs.join(new, "file_id").join(old, "prev_file_id")
+    first = heads.groupBy("file_id").agg(F.min(F.struct("at", "series", "row")).alias("_first")).select("file_id", "_first.*")
+    order = with_previous(first, ["series"], F.to_date("at"), ["at", "file_id"], ["file_id", "row"])
+    pairs = order.where(F.col("prev_row").isNotNull()).select("row", "prev_row", "prev_file_id")
+    new = heads.select("row", "file_id", F.col("fields").alias("new"), F.col("objects").alias("new_objects"))
+    old = heads.select(F.col("row").alias("prev_row"), F.col("fields").alias("old"), F.col("objects").alias("old_objects"))
+    both = pairs.join(new, "row").join(old, "prev_row").select("file_id", "prev_file_id", "old", "old_objects", "new", "new_objects")
     ids = heads.schema["file_id"].dataType.simpleString()
-
     names_out = ["field_path", "change", "old_types", "new_types", "new_field"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("old").to_pylist(), batch.column("new").to_pylist())
-            rows = [(i, *change) for i, (o, n) in enumerate(pairs) for change in compare(o, n)]
+            if not batch.num_rows:
+                continue
+            old, new = (_Side(batch.column(k), batch.column(f"{k}_objects")) for k in ("old", "new"))
+            rows = [(i, *c) for i in range(batch.num_rows) for c in compare(old.types_of(i), new.types_of(i), old.values_of(i), new.values_of(i))]
             heads = batch.select(["file_id", "prev_file_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
             made = [pa.array([r[k + 1] for r in rows], pa.string()) for k in range(len(names_out))]
             yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, *names_out])
@@ -196,14 +282,19 @@ def differences(files: DataFrame, records: Sequence[str], **names: str) -> DataF
     return both.mapInArrow(run, f"file_id {ids}, prev_file_id {ids}, field_path string, change string, old_types string, new_types string, new_field string")
 
 
-def fold_names(changes: DataFrame) -> dict[str, str]:
+def differences(files: DataFrame, records: Sequence[str], **names: str) -> DataFrame:
+    """The log of ``changes`` of files."""
+    return changes(headers(files, records, **names))
+
+
+def fold_names(log: DataFrame) -> dict[str, str]:
     """One name for all the names a field has gone by, out of the log of changes: {other name: name}.
 
     Names that a rename links are one field, and it keeps the name most often left behind. A
     rename counts only if most of the renames to its new name say so, as a few equal values can look
     like one. Only counted pairs of names, the size of a schema, reach the driver.
     """
-    counted = changes.where("change = 'renamed'").groupBy("field_path", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = log.where("change = 'renamed'").groupBy("field_path", "new_field").agg(F.count(F.lit(1)).alias("n")).collect()
     to: dict[str, int] = {}
     left: dict[str, int] = {}
     for r in counted:
@@ -229,54 +320,53 @@ def fold_names(changes: DataFrame) -> dict[str, str]:
     return {f: root(f) for f in group if root(f) != f}
 
 
-def fold_schema(files: DataFrame, records: Sequence[str], renames: dict[str, str] | None = None, **names: str) -> dict[str, str]:
+def fold_schema(heads: DataFrame, renames: dict[str, str] | None = None) -> dict[str, str]:
     """The union schema: every field with the least type that holds all its values.
 
-    The fold runs as an aggregate; only distinct (field, types) pairs, the size of a schema, reach the driver.
+    Types are gathered as bits, pre-aggregated; one row a field, the size of a schema, reaches the driver.
     """
-    renames = renames or {}
-    pairs = headers(files, records, **names).select(F.explode("fields").alias("f")).select("f.field", "f.types").distinct().collect()
+    kinds = [*SIZES, "double", "boolean", "array"]
+    sized = F.element_at(F.array(*map(F.lit, SIZES)), F.col("f.size") + 1)
+    kind = F.explode(F.transform(F.split("f.types", ","), lambda t: F.when(t == "integer", sized).otherwise(t)))
+    bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, 1 << i)]), F.col("kind"))
+    found = heads.select(F.explode("fields").alias("f")).select("f.field", kind.alias("kind")).groupBy("field").agg(F.bit_or(bit).alias("kinds"))
     union: dict[str, str] = {}
-    for field, types in sorted((r["field"], r["types"]) for r in pairs):
-        field = renames.get(field, field)
-        for kind in types.split(","):
-            union[field] = promote(union.get(field, "null"), kind)
+    for r in sorted(found.collect()):
+        field = (renames or {}).get(r["field"], r["field"])
+        for i, kind in enumerate(kinds):
+            if r["kinds"] >> i & 1:
+                union[field] = promote(union.get(field, "null"), kind)
     return union
 
 
-def unified(files: DataFrame, records: Sequence[str], schema: dict[str, str] | None = None, renames: dict[str, str] | None = None, keep: Sequence[str] = (), payload: str = "payload", file_id: str = "file_id", **names: str) -> DataFrame:
+def unified_of(heads: DataFrame, records: Sequence[str], schema: dict[str, str] | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+    """``unified`` out of headers that were read ``whole``; no payload is read again, and nothing is shuffled."""
+    renames = renames or {}
+    union = fold_schema(heads, renames) if schema is None else schema
+    sources = {f: [f, *sorted(n for n, to in renames.items() if to == f)] for f in sorted(union)}
+    names = {n: f"_{i}" for i, n in enumerate(dict.fromkeys(n for found in sources.values() for n in found))}
+    kept = [c for c in heads.schema["kept"].dataType.names if c != "none"]
+    by_field = F.map_from_arrays("fields.field", "fields.vals")
+    zipped = F.arrays_zip(F.col("objects").alias("object"), *[F.coalesce(F.element_at("_m", F.lit(n)), F.array().cast("array<string>")).alias(at) for n, at in names.items()])
+    rows = heads.select("file_id", "kept", "objects", by_field.alias("_m")).select("file_id", "kept", F.explode(zipped).alias("z"))
+    parts = F.filter(F.array(*[F.when(F.col("z.object.held").bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(records)]), lambda x: x.isNotNull())
+    rows = rows.select("file_id", "kept", "z", F.explode(parts).alias("record"))
+
+    def cast(field: str, kind: str) -> Column:
+        value = F.coalesce(*[F.when(F.col("record") == n.split(".", 1)[0], F.col(f"z.{names[n]}")) for n in sources[field]])
+        return F.substring(value, 2, 2**31 - 1).try_cast(SPARK_TYPE[kind]).alias(field.replace(".", "__"))
+
+    return rows.select(
+        "file_id", *[F.col(f"kept.`{k}`") for k in kept], F.col("z.object.pos").alias("object_pos"), F.col("z.object.id").alias("object_id"), "record", *(cast(f, k) for f, k in sorted(union.items()))
+    )
+
+
+def unified(files: DataFrame, records: Sequence[str], schema: dict[str, str] | None = None, renames: dict[str, str] | None = None, keep: Sequence[str] = (), **names: str) -> DataFrame:
     """One row per object and record of every readable file, with the union schema's fields as columns.
 
     Columns: file_id, ``keep``, object_pos, object_id, record, then one column per field
     (dots become double underscores), cast to its folded type. A field that a file lacks is null.
     With ``renames`` (see ``fold_names``) a field has one column, whatever name a file has it under;
-    should an object hold it twice, the name it is folded to comes first.
+    should an object hold it twice, the name it is folded to comes first, then the others in their order.
     """
-    renames = renames or {}
-    union = fold_schema(files, records, renames, payload=payload, file_id=file_id, **names) if schema is None else schema
-    wanted, kept = list(records), list(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column("_payload").to_pylist()):
-                found = parse(text)
-                for pos, item in enumerate(_objects(found) if found else []):
-                    for record in wanted:
-                        inner = item.get(record)
-                        if isinstance(inner, dict):
-                            key = item.get("id")
-                            rows.append((i, pos, None if key is None else _text(key), record, list(_named(inner, record, renames).items())))
-            heads = batch.select(["file_id", *kept]).take(pa.array([r[0] for r in rows], pa.int64()))
-            types = (pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()))
-            made = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, "object_pos", "object_id", "record", "_leaves"])
-
-    head = [f"file_id {files.schema[file_id].dataType.simpleString()}", *(f"`{k}` {files.schema[k].dataType.simpleString()}" for k in kept)]
-    read = files.select(F.col(file_id).alias("file_id"), *kept, F.col(payload).alias("_payload"))
-    rows = read.mapInArrow(run, ", ".join([*head, "object_pos int, object_id string, record string, _leaves map<string,string>"]))
-
-    def cast(field: str, kind: str) -> Column:
-        return F.expr(f"try_cast(_leaves['{field}'] as {SPARK_TYPE[kind]})").alias(field.replace(".", "__"))
-
-    return rows.select("file_id", *kept, "object_pos", "object_id", "record", *(cast(f, k) for f, k in sorted(union.items())))
+    return unified_of(headers(files, records, keep=keep, whole=True, **names), records, schema, renames)

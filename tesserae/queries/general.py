@@ -53,9 +53,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "scene_files")
-    renames = schema_drift.fold_names(schema_drift.differences(files, ["mesh", "animation"]))
-    return schema_drift.unified(files, ["mesh", "animation"], renames=renames, keep=["scene_id", "source_key"])
+    heads = schema_drift.headers(table(spark, d, "scene_files"), ["mesh", "animation"], keep=["scene_id", "source_key"], whole=True)
+    return schema_drift.unified_of(heads, ["mesh", "animation"], renames=schema_drift.fold_names(schema_drift.changes(heads)))
 
 
 def p3_runs(spark: SparkSession, d: str) -> DataFrame:

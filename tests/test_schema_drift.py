@@ -38,21 +38,24 @@ def test_changes_of_every_kind(spark, rows):
 
 
 def test_rename_needs_more_than_half_of_equal_values_of_one_type():
-    def head(**fields):
-        return [{"field": f.replace("__", "."), "types": t, "ids": list(v), "vals": list(v.values())} for f, (t, v) in fields.items()]
+    def changed(old, new):
+        types = lambda h: {f.replace("__", "."): t for f, (t, _) in h.items()}
+        values = lambda h: lambda f: h[f.replace(".", "__")][1]
+        return [c[:2] for c in S.compare(types(old), types(new), values(old), values(new))]
 
-    old = head(mesh__a=("integer", {1: 10, 2: 20}), mesh__b=("integer", {1: 30}))
-    half = head(mesh__c=("integer", {1: 10, 2: 99, 3: 5}))
-    assert [c[:2] for c in S.compare(old, half)] == [("mesh.a", "removed"), ("mesh.b", "removed"), ("mesh.c", "added")]
-    more = head(mesh__c=("integer", {1: 10, 2: 20}), animation__b=("integer", {1: 30}))
-    assert [c[:2] for c in S.compare(old, more)] == [("animation.b", "added"), ("mesh.a", "renamed"), ("mesh.b", "removed")]
-    assert S.compare([], []) == []
+    old = {"mesh__a": ("integer", {1: "i10", 2: "i20"}), "mesh__b": ("integer", {1: "i30"})}
+    half = {"mesh__c": ("integer", {1: "i10", 2: "i99", 3: "i5"})}
+    assert changed(old, half) == [("mesh.a", "removed"), ("mesh.b", "removed"), ("mesh.c", "added")]
+    more = {"mesh__c": ("integer", {1: "i10", 2: "i20"}), "animation__b": ("integer", {1: "i30"})}
+    assert changed(old, more) == [("animation.b", "added"), ("mesh.a", "renamed"), ("mesh.b", "removed")]
+    assert changed({}, {}) == []
 
 
 def test_lattice():
     assert S.promote("integer", "double") == "double"
     assert S.promote("null", "array") == S.promote("array", "null") == "array"
     assert S.promote("boolean", "integer") == "string"
+    assert S.promote("long", "double") == S.promote("decimal", "double") == "string"
     for a in S.SPARK_TYPE:
         for b in S.SPARK_TYPE:
             assert S.promote(a, b) == S.promote(b, a)
@@ -73,6 +76,22 @@ def test_one_table_with_folded_names_and_types(spark, rows):
     assert rows(table, "file_id", "object_id", "mesh__faces") == sorted([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0), (2, "b", 2.0), (3, "a", 1.5), (3, None, None), (3, "c", 8.0)], key=repr)
 
 
+def test_great_integers_and_long_values_stay_whole(spark, rows):
+    long_text = "x" * 200
+    data = files(
+        doc(("a", {"mesh": {"n": 5, "big": 2**62, "huge": 2**70, "endless": 10**40, "mixed": 2**60, "t": long_text, "l": [1, {"b": 2, "a": None}]}})),
+        doc(("a", {"mesh": {"n": 6, "big": 1, "huge": 3, "endless": 1, "mixed": 0.5, "u": long_text}})),
+    )
+    df = spark.createDataFrame(data, SCHEMA)
+    table = S.unified(df, ["mesh"])
+    kinds = dict(table.dtypes)
+    assert [kinds[f"mesh__{c}"] for c in ("n", "big", "huge", "endless", "mixed")] == ["bigint", "bigint", "decimal(38,0)", "string", "string"]
+    found = table.orderBy("file_id").collect()
+    assert [(r["mesh__n"], r["mesh__big"], int(r["mesh__huge"]), r["mesh__endless"], r["mesh__mixed"]) for r in found] == [(5, 2**62, 2**70, str(10**40), str(2**60)), (6, 1, 3, "1", "0.5")]
+    assert (found[0]["mesh__t"], found[1]["mesh__u"], found[0]["mesh__l"]) == (long_text, long_text, '[1, {"a": null, "b": 2}]')
+    assert ("mesh.t", "renamed") in rows(S.differences(df, ["mesh"]), "field_path", "change")
+
+
 def test_series_apart_ties_nulls_and_empty(spark, rows):
     one, two = doc(("a", {"mesh": {"x": 1}})), doc(("a", {"mesh": {"x": "1"}}))
     data = [(2, "k", None, two, "", ""), (1, "k", None, one, "", ""), (3, None, START, one, "", ""), (4, None, START, two, "", ""), (5, "other", START, two, "", ""), (6, "k", START, one, "", ""), (6, "k", START, one, "", "")]
