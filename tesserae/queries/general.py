@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +27,9 @@ def _entity(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_entity(spark, d, n).select(F.col("key").alias("row_id"), F.lit(n).alias("child_table"), F.col("pos").alias("path")) for n in RECORDS]
-    return reduce(DataFrame.unionByName, parts)
+    found = shred.records(table(spark, d, "scene_objects"), "row_id", NEST, list(RECORDS.values()))
+    names = F.create_map(*[F.lit(x) for name, path in RECORDS.items() for x in (path, name)])
+    return found.select(F.col("key").alias("row_id"), names[F.col("entity")].alias("child_table"), F.col("pos").alias("path"))
 
 
 def p1_materials(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -54,7 +56,7 @@ _WRITTEN: list[Scratch] = []
 @atexit.register
 def _clean() -> None:
     """What this process wrote to the shared folder goes when it ends."""
-    for scratch in _WRITTEN:
+    for scratch in list(_WRITTEN):
         try:
             scratch.drop(scratch.root)
         except Exception:  # noqa: BLE001 - the session may be gone; then the folder's owner cleans up
@@ -74,13 +76,19 @@ class Scratch:
         self._n = 0
         _WRITTEN.append(self)
 
-    def save(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def save(self, df: DataFrame, partition_by: Sequence[str] = ()) -> tuple[DataFrame, str]:
         self._n += 1
         path = f"{self.root}/{self._n:05d}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+        return self.read(path, df.schema), path
+
+    def read(self, path: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, path: str) -> None:
+        """Deletes a table, or with ``root`` all of them, now and not when the process ends."""
+        if path == self.root and self in _WRITTEN:
+            _WRITTEN.remove(self)
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
