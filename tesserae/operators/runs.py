@@ -1,8 +1,12 @@
 """Runs of identical or nearly identical consecutive events, collapsed to one event each.
 
-Gaps and islands: every event is canonicalised to the event its chain began with; the row
-number within entity and canonical event, subtracted from the row number within
-the entity, is constant along a run, and the run is what shares it.
+Gaps and islands: every event is canonicalised, and the row number within entity and canonical
+event, subtracted from the row number within the entity, is constant along a run; the run is what shares
+canonical event and difference. As nearness is defined between neighbours and values may drift along a
+chain of near ones, the canonical value of an event is that of the event its chain began with. It tells a chain
+from the one before it unless that one began with the same value; then, and where the order leaves a
+gap, a new segment begins, and the segment is part of the canonical event. So a value that
+comes back after others has the same canonical event again, and the difference tells the runs apart.
 
 An entity is worked on in blocks of its order, so that one entity may hold any share
 of all rows: within a block rows become segments, and over an entity only the first
@@ -60,13 +64,16 @@ def collapse_runs(
 
     inner = Window.partitionBy(*keys, "_block").orderBy("_o", "_t", "_v")
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    chained = F.coalesce(goes_on(F.lag("_o").over(inner), F.lag("_v").over(inner), F.col("_o"), F.col("_v")), F.lit(False))
-    rows = rows.withColumn("_rn", F.row_number().over(inner)).withColumn("_start", F.when(~chained, F.col("_rn")))
-    # The canonical event is the one that began the chain, told apart by its place.
+    before_o, before_v = F.lag("_o").over(inner), F.lag("_v").over(inner)
+    gap = F.lit(False) if max_gap is None else F.coalesce((F.col("_o") - before_o) > F.lit(max_gap), F.lit(False))
+    chained = F.coalesce(goes_on(before_o, before_v, F.col("_o"), F.col("_v")), F.lit(False))
+    rows = rows.withColumns({"_rn": F.row_number().over(inner), "_gap": gap, "_start": F.when(~chained, F.col("_v"))})
     rows = rows.withColumn("_canon", F.last("_start", True).over(upto))
-    same = Window.partitionBy(*keys, "_block", "_canon").orderBy("_o", "_t", "_v")
+    back = F.col("_start").isNotNull() & (F.col("_gap") | F.coalesce(F.lag("_canon").over(inner) == F.col("_canon"), F.lit(False)))
+    rows = rows.withColumn("_segment", F.count_if(back).over(upto))
+    same = Window.partitionBy(*keys, "_block", "_segment", "_canon").orderBy("_o", "_t", "_v")
     rows = rows.withColumn("_island", F.col("_rn") - F.row_number().over(same))
-    segments = rows.groupBy(*keys, "_block", "_island").agg(
+    segments = rows.groupBy(*keys, "_block", "_segment", "_canon", "_island").agg(
         F.min("_rn").alias("_seg"),
         F.min("_o").alias("_o1"),
         F.max("_o").alias("_o2"),
@@ -74,6 +81,7 @@ def collapse_runs(
         F.max_by("_v", "_rn").alias("_v2"),
         F.count(F.lit(1)).alias("_n"),
     )
+    segments = segments.drop("_segment", "_canon")
     of_block = Window.partitionBy(*keys, "_block")
     segments = segments.withColumn("_first", F.col("_seg") == F.min("_seg").over(of_block)).withColumn("_end", F.col("_seg") == F.max("_seg").over(of_block))
     inside = segments.where(~F.col("_first") & ~F.col("_end"))

@@ -38,6 +38,16 @@ def test_one_frame_apart_in_value_ends_a_run(spark, rows):
     assert rows(found, "first_order", "last_order", "n_events", "duration") == [(1, 3, 3, 2), (20, 20, 1, 0), (21, 21, 1, 0)]
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_drift_and_return_to_the_same_value(spark, rows, block):
+    values = [0.0, 0.0004, 0.0008, 0.0, -0.0, 5.0, 0.0, 0.0004, 5.0, 5.0, 0.0, 0.0, 0.0008, 0.0004, 0.0]
+    data = [("a", 0, i, v, "", 0) for i, v in enumerate(values)] + [("a", 0, 40 + i, 0.0, "", 0) for i in range(3)] + [("a", 0, 80 + i, 0.0, "", 0) for i in range(2)]
+    found = runs.collapse_runs(spark.createDataFrame(data, SCHEMA), ["e"], "frame", "p", "value", 0.0005, 12, block)
+    expected = [r[1:] for r in brute(data, 0.0005, 12)]
+    assert rows(found, "first_order", "last_order", "n_events") == sorted(expected, key=repr)
+    assert len(expected) == 9
+
+
 def test_latest_takes_the_last_delivery_even_if_null(spark, rows):
     df = spark.createDataFrame([("a", 1, 5, 1.0, "old", 1), ("a", 1, None, None, "new", 2), ("b", 1, 7, 2.0, None, None)], SCHEMA)
     assert rows(runs.latest(df, ["e", "p"], ["_rn"], ["frame", "value"])) == [("a", 1, None, None), ("b", 1, 7, 2.0)]
