@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from tesserae.session import Scratch
 
-#: Bits of the largest filter that is broadcast (8 MiB); with more keys it grows no further and only lets more through.
-MAX_BITS = 1 << 26
+#: Bits of one filter, the most that Spark's aggregate makes by default (8 MiB), and the most filters that are
+#: broadcast together. Keys are dealt to the filters by hash.
+MAX_BITS, MAX_FILTERS = 1 << 26, 8
+#: Bits a key that a filter is made for, and those below which it would let so much through that it is left out.
+BITS_PER_KEY, LEAST_BITS_PER_KEY = 12, 3
 
 
 def available(spark: SparkSession) -> bool:
@@ -28,25 +31,48 @@ def _expression(spark: SparkSession, column: Column):
     return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
 
 
-def bloom_of(df: DataFrame, key: Column, rows: int, bits_per_key: int = 12) -> DataFrame:
-    """A filter of the 64-bit ``key`` over all rows of ``df``, at most MAX_BITS long: one row, one column ``bloom``,
-    null of no rows. Partial filters are merged on the executors, and the result is written to scratch."""
-    spark = df.sparkSession
-    bits = max(1024, min(MAX_BITS, 1 << math.ceil(math.log2(max(1, rows) * bits_per_key))))
-    items = max(1, min(rows, bits // bits_per_key))
+def filters_for(keys: int) -> int:
+    """How many filters these keys need; 0 if they are too many for MAX_FILTERS.
+
+    With 12 bits a key about 1 key in 300 passes wrongly, with 6 bits 1 in 18, with 3 bits 1 in 4.
+    """
+    if keys * LEAST_BITS_PER_KEY > MAX_BITS * MAX_FILTERS:
+        return 0
+    return max(1, min(MAX_FILTERS, math.ceil(keys * BITS_PER_KEY / MAX_BITS)))
+
+
+def _bucket(key: Column, n: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 40), F.lit(n))
+
+
+def bloom_of(df: DataFrame, key: Column, keys: int) -> list[DataFrame] | None:
+    """Filters of the 64-bit ``key`` over all rows of ``df``, with ``keys`` of them at most: one frame of one row and one column ``bloom`` each,
+    null of no rows. None if there are too many keys. Partial filters are merged on the executors, and the result is written to scratch.
+    """
+    spark, n = df.sparkSession, filters_for(keys)
+    if not n:
+        return None
+    each = max(1, math.ceil(keys / n))
+    bits = max(1024, min(MAX_BITS, 1 << math.ceil(math.log2(each * BITS_PER_KEY))))
+    items = max(1, min(each, bits // LEAST_BITS_PER_KEY))
     hashed = df.select(key.alias("h"))
     plan = spark._jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
         _expression(spark, F.col("h")), _expression(spark, F.lit(items).cast("long")), _expression(spark, F.lit(bits).cast("long"))
     )
-    return Scratch(spark, "bloom").save(hashed.agg(_column(spark, plan.toAggregateExpression()).alias("bloom")))[0]
+    made = hashed.groupBy(_bucket(F.col("h"), n).alias("bucket")) if n > 1 else hashed
+    stored = Scratch(spark, "bloom").save(made.agg(_column(spark, plan.toAggregateExpression()).alias("bloom")))[0]
+    return [stored.where(F.col("bucket") == i).select("bloom") for i in range(n)] if n > 1 else [stored]
 
 
-def might_contain(bloom: DataFrame, key: Column) -> Column:
-    """Whether ``key`` may be among the filter's keys; false is certain.
+def might_contain(blooms: list[DataFrame], key: Column) -> Column:
+    """Whether ``key`` may be among the filters' keys; false is certain.
 
-    The filter reaches the tasks as a scalar subquery's value. As a literal it would be spelt out in every
+    A filter reaches the tasks as a scalar subquery's value. As a literal it would be spelt out in every
     description of the plan.
     """
-    spark = bloom.sparkSession
-    found = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(_expression(spark, bloom.scalar()), _expression(spark, key))
-    return F.coalesce(_column(spark, found), F.lit(False))
+    spark, out = blooms[0].sparkSession, F.lit(False)
+    for i, bloom in enumerate(blooms):
+        found = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(_expression(spark, bloom.scalar()), _expression(spark, key))
+        here = F.coalesce(_column(spark, found), F.lit(False))
+        out = here if len(blooms) == 1 else F.when(_bucket(key, len(blooms)) == i, here).otherwise(out)
+    return out

@@ -1,7 +1,11 @@
 """References to records that do not exist, at the time they are made.
 
 A Bloom filter of all parent keys proves most orphans at once: what it does not contain was
-never registered. Only references it lets through are joined exactly.
+never registered. Only references it lets through are joined exactly. The filter takes up to 64 MiB, at which 45 million keys
+have their 12 bits each; more keys share them, and beyond 180 million it would let more than a quarter through and
+is left out (as it is in a remote session, which has no such filter): then all references are joined, with the same result.
+
+A record holds a reference made at the time it begins, but not one made at the time it ends.
 
 Defined results: null and empty references are no references. A reference with a null
 scope matches no record and is missing. Without a time it is not held by any record: late,
@@ -36,7 +40,7 @@ def orphans(
     """The rows of ``refs`` that nothing held, with ``reason``: missing, deleted or late.
 
     ``registry`` has one row per life span of a record. A reference holds if a span began at or
-    before its time and did not end before it. Reason ``deleted``: some span had begun by then.
+    before its time and ended, if ever, after it. Reason ``deleted``: some span had begun by then.
     """
     spark = refs.sparkSession
     kept = [c for c in refs.columns if c.lower() != "reason"]
@@ -49,10 +53,10 @@ def orphans(
     )
     hashed = F.xxhash64("scope", "ref")
     passed, refused = made, None
-    if available(spark):
-        bloom = bloom_of(spans, F.xxhash64("_scope", "_key"), spans.count())
+    blooms = bloom_of(spans, F.xxhash64("_scope", "_key"), spans.count()) if available(spark) else None
+    if blooms:
         # Written once, as both sides are read again.
-        sifted, _ = Scratch(spark, "references").save(made.withColumn("_maybe", F.coalesce(might_contain(bloom, hashed), F.lit(False))))
+        sifted, _ = Scratch(spark, "references").save(made.withColumn("_maybe", might_contain(blooms, hashed)))
         passed, refused = sifted.where("_maybe").drop("_maybe"), sifted.where("not _maybe").drop("_maybe").withColumn("reason", F.lit("missing"))
     # One row per record, pre-aggregated: enough for every record with a single life span.
     records = spans.groupBy("_scope", "_key").agg(
@@ -65,7 +69,7 @@ def orphans(
     simple = (
         F.when(~known, "missing")
         .when(~F.coalesce(begun, F.lit(False)), "late")
-        .when(F.col("_last") < F.col("at"), "deleted")
+        .when(F.col("_last") <= F.col("at"), "deleted")
         .when(F.col("_spans") <= 1, "")
     )
     judged, _ = Scratch(spark, "references").save(judged.select(*own, simple.alias("reason")))
@@ -94,5 +98,5 @@ def orphans(
     reach = reach.join(before, ["_scope", "_key", "_day"], "left").withColumn("_upto", F.greatest("_sofar", "_carry"))
     held = reach.select(F.col("_scope").alias("scope"), F.col("_key").alias("ref"), F.col("_t").alias("at"), "_upto")
     rest = salted_join(open_, held, ["scope", "ref", "at"], "left", F.col("_row"), hot_rows)
-    gone = rest.where(F.coalesce(F.col("_upto") < F.col("at"), F.lit(True))).select(*own, F.lit("deleted").alias("reason"))
+    gone = rest.where(F.coalesce(F.col("_upto") <= F.col("at"), F.lit(True))).select(*own, F.lit("deleted").alias("reason"))
     return settled.unionByName(gone).select("_row.*", "reason")

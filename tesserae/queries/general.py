@@ -84,12 +84,12 @@ def _hierarchy_nodes(spark: SparkSession, d: str) -> DataFrame:
     return collections.unionByName(objects)
 
 
-def _trees(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(_hierarchy_nodes(spark, d), ["kind", "scene_id"])
+def _trees(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return H.hierarchy(_hierarchy_nodes(spark, d), ["kind", "scene_id"], paths=paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _trees(spark, d).select("kind", "scene_id", F.col("id").alias("node_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth")
+    return _trees(spark, d, paths=False).select("kind", "scene_id", F.col("id").alias("node_id"), F.coalesce("root", F.lit("")).alias("root_id"), "depth")
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return H.cycle_members(_trees(spark, d), ["kind", "scene_id"]).withColumnRenamed("id", "node_id")
+    return H.cycle_members(_trees(spark, d, paths=False), ["kind", "scene_id"]).withColumnRenamed("id", "node_id")
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
@@ -164,7 +164,7 @@ _REFS = """
           UNION ALL SELECT 'edges.target', edge_id, 0, scene_id, target, built_at FROM edges),
     j AS (SELECT ref_table, row_id, ref_pos, t, count(n.id) AS known,
               count(CASE WHEN n.first_seen_at <= t THEN 1 END) AS begun,
-              count(CASE WHEN n.first_seen_at <= t AND (n.removed_at IS NULL OR n.removed_at >= t) THEN 1 END) AS held
+              count(CASE WHEN n.first_seen_at <= t AND (n.removed_at IS NULL OR n.removed_at > t) THEN 1 END) AS held
           FROM r LEFT JOIN nodes n ON r.scene_id = n.scene_id AND r.ref = n.id WHERE r.ref <> '' GROUP BY ref_table, row_id, ref_pos, t),
     orphan AS (SELECT ref_table, row_id, ref_pos, CASE WHEN known = 0 THEN 'missing' WHEN begun > 0 THEN 'deleted' ELSE 'late' END AS reason, strftime(t, '%Y-%m') AS period FROM j WHERE held = 0)"""
 
