@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import Scratch
+
 
 def latest(df: DataFrame, keys: Sequence[str], at: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Of the rows that share ``keys``, the ``values`` of the last by ``at``; ties go to the greater values. Pre-aggregated."""
@@ -67,7 +69,8 @@ def collapse_runs(
     before_o, before_v = F.lag("_o").over(inner), F.lag("_v").over(inner)
     gap = F.lit(False) if max_gap is None else F.coalesce((F.col("_o") - before_o) > F.lit(max_gap), F.lit(False))
     chained = F.coalesce(goes_on(before_o, before_v, F.col("_o"), F.col("_v")), F.lit(False))
-    rows = rows.withColumns({"_rn": F.row_number().over(inner), "_gap": gap, "_start": F.when(~chained, F.col("_v"))})
+    ends = F.lead("_block").over(inner).isNull()
+    rows = rows.withColumns({"_rn": F.row_number().over(inner), "_gap": gap, "_start": F.when(~chained, F.col("_v")), "_end": ends})
     rows = rows.withColumn("_canon", F.last("_start", True).over(upto))
     back = F.col("_start").isNotNull() & (F.col("_gap") | F.coalesce(F.lag("_canon").over(inner) == F.col("_canon"), F.lit(False)))
     rows = rows.withColumn("_segment", F.count_if(back).over(upto))
@@ -80,10 +83,10 @@ def collapse_runs(
         F.min_by("_v", "_rn").alias("_v1"),
         F.max_by("_v", "_rn").alias("_v2"),
         F.count(F.lit(1)).alias("_n"),
+        F.bool_or("_end").alias("_end"),
     )
-    segments = segments.drop("_segment", "_canon")
-    of_block = Window.partitionBy(*keys, "_block")
-    segments = segments.withColumn("_first", F.col("_seg") == F.min("_seg").over(of_block)).withColumn("_end", F.col("_seg") == F.max("_seg").over(of_block))
+    # Written once, as inner and outer segments of the blocks part ways here.
+    segments, _ = Scratch(events.sparkSession, "runs").save(segments.drop("_segment", "_canon").withColumn("_first", F.col("_seg") == 1))
     inside = segments.where(~F.col("_first") & ~F.col("_end"))
     edge = segments.where(F.col("_first") | F.col("_end"))
     outer = Window.partitionBy(*keys).orderBy("_block", "_seg")

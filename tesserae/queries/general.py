@@ -75,12 +75,12 @@ def _hierarchy_nodes(spark: SparkSession, d: str) -> DataFrame:
 
     collections = last("collections", "parent").select(F.lit("collection").alias("kind"), "scene_id", "id", "parent")
     objects = last("scene_objects", "parent", "children")
-    listed = objects.select("scene_id", F.col("id").alias("lister"), F.explode("children").alias("child")).where("child <> ''")
-    lister = listed.groupBy("scene_id", F.col("child").alias("id")).agg(F.min("lister").alias("lister"))
-    joined = objects.alias("o").join(lister.alias("l"), F.col("o.scene_id").eqNullSafe(F.col("l.scene_id")) & (F.col("o.id") == F.col("l.id")), "left")
-    objects = joined.select(
-        F.lit("object").alias("kind"), F.col("o.scene_id").alias("scene_id"), F.col("o.id").alias("id"), F.coalesce(F.expr("nullif(o.parent, '')"), "l.lister").alias("parent")
-    )
+    # Each object, and each child it lists, as a row; so the table is read and shuffled once.
+    own = F.array(F.struct("id", F.lit(True).alias("own"), F.expr("nullif(parent, '')").alias("parent"), F.lit(None).cast("string").alias("lister")))
+    listed = F.transform(F.filter("children", lambda c: c != ""), lambda c: F.struct(c.alias("id"), F.lit(False).alias("own"), F.lit(None).cast("string").alias("parent"), F.col("id").alias("lister")))
+    seen = objects.select("scene_id", F.inline(F.concat(own, F.coalesce(listed, F.array().cast("array<struct<id:string,own:boolean,parent:string,lister:string>>")))))
+    told = seen.groupBy("scene_id", "id").agg(F.bool_or("own").alias("own"), F.max("parent").alias("parent"), F.min("lister").alias("lister")).where("own")
+    objects = told.select(F.lit("object").alias("kind"), "scene_id", "id", F.coalesce("parent", "lister").alias("parent"))
     return collections.unionByName(objects)
 
 
