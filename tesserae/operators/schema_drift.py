@@ -21,18 +21,25 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tesserae.operators.ordered import with_previous
 from tesserae.session import Scratch
 
-#: ``objects`` are those that hold a record, with the records they hold as bits; ``vals`` has a field's value for each of them,
-#: a letter for its JSON type before its text.
-HEADER = "objects array<struct<pos:int,id:string,held:int>>, fields array<struct<field:string,types:string,size:int,vals:array<string>>>"
+#: ``signature``: each field with its types, in order. ``sizes`` and ``vals``: a field's, in the same order; its values are those of the objects that
+#: hold a record, a letter for the JSON type before each text. ``ids``, ``places`` and ``held``: of these objects, with the records they hold as bits.
+#: Lists are texts, which take a fraction of an array's place.
+HEADER = "signature string, sizes array<int>, vals array<string>, ids string, places array<int>, held array<int>"
+#: What stands between the fields of a signature, the parts of a field and the elements of a list; and what such letters become within them.
+FIELD, PART, ITEM = "\x1d", "\x1e", "\x1f"
+ESCAPES = {"\x1b": "\x1bb", FIELD: "\x1bf", PART: "\x1bp", ITEM: "\x1bi"}
 
 #: JSON types by the letter they are marked with.
 TYPES = {"i": "integer", "d": "double", "b": "boolean", "s": "string", "a": "array"}
@@ -126,63 +133,46 @@ def _objects(payload: dict) -> list[dict]:
     return [o for o in found if isinstance(o, dict)] if isinstance(found, list) else []
 
 
-def _id(value: object) -> str | None:
-    return value if value is None or isinstance(value, str) else json.dumps(value, sort_keys=True)
-
-
-class _Headers:
-    """The headers of a batch, gathered as flat Arrow columns."""
-
-    def __init__(self) -> None:
-        self.objects: list[tuple[int, str | None, int]] = []
-        self.objects_upto, self.fields_upto, self.vals_upto = [0], [0], [0]
-        self.fields: list[tuple[str, str, int]] = []
-        self.vals: list[str | None] = []
-
-    def add(self, payload: dict, records: Sequence[str], whole: bool) -> None:
-        columns: dict[str, list[str | None]] = {}
-        sizes: dict[str, int] = {}
-        n = 0
-        for pos, item in enumerate(_objects(payload)):
-            held = 0
-            for bit, record in enumerate(records):
-                inner = item.get(record)
-                if not isinstance(inner, dict):
-                    continue
-                held |= 1 << bit
-                for path, value in leaves(inner, record):
-                    column = columns.setdefault(path, [])
-                    column.extend([None] * (n - len(column)))
-                    column.append(_marked(value, whole))
-                    if type(value) is not str and (size := _size(value)):
-                        sizes[path] = max(size, sizes.get(path, 0))
-            if held:
-                self.objects.append((pos, _id(item.get("id")), held))
-                n += 1
-        self.objects_upto.append(len(self.objects))
-        for path in sorted(columns):
-            column = columns[path]
-            letters = {v[0] for v in column if v is not None}
-            self.fields.append((path, ",".join(sorted(TYPES[x] for x in letters)), sizes.get(path, 0)))
-            self.vals.extend(column)
-            self.vals_upto.append(len(self.vals))
-        self.fields_upto.append(len(self.fields))
-
-    def arrays(self) -> list[pa.Array]:
-        def column(rows: list[tuple], k: int, kind: pa.DataType) -> pa.Array:
-            return pa.array([r[k] for r in rows], kind)
-
-        ints = lambda x: pa.array(x, pa.int32())
-        objects = pa.StructArray.from_arrays([column(self.objects, 0, pa.int32()), column(self.objects, 1, pa.string()), column(self.objects, 2, pa.int32())], ["pos", "id", "held"])
-        vals = pa.ListArray.from_arrays(ints(self.vals_upto), pa.array(self.vals, pa.string()))
-        fields = pa.StructArray.from_arrays([column(self.fields, 0, pa.string()), column(self.fields, 1, pa.string()), column(self.fields, 2, pa.int32()), vals], ["field", "types", "size", "vals"])
-        return [pa.ListArray.from_arrays(ints(self.objects_upto), objects), pa.ListArray.from_arrays(ints(self.fields_upto), fields)]
+_CONTROL = re.compile("[\x1b\x1d-\x1f]")
+
+
+def _escaped(text: str) -> str:
+    return _CONTROL.sub(lambda m: ESCAPES[m[0]], text) if _CONTROL.search(text) else text
+
+
+def _header(payload: dict, records: Sequence[str], whole: bool) -> tuple:
+    """One file's header, in the order of HEADER."""
+    columns: dict[str, list[str]] = {}
+    sizes: dict[str, int] = {}
+    ids, places, bits = [], [], []
+    for pos, item in enumerate(_objects(payload)):
+        held, n = 0, len(ids)
+        for bit, record in enumerate(records):
+            inner = item.get(record)
+            if not isinstance(inner, dict):
+                continue
+            held |= 1 << bit
+            for path, value in leaves(inner, record):
+                column = columns.setdefault(path, [])
+                column.extend([""] * (n - len(column)))
+                column.append(_escaped(_marked(value, whole)))
+                if type(value) is not str and (size := _size(value)):
+                    sizes[path] = max(size, sizes.get(path, 0))
+        if held:
+            key = item.get("id")
+            ids.append("" if key is None else "s" + _escaped(key if isinstance(key, str) else json.dumps(key, sort_keys=True)))
+            places.append(pos)
+            bits.append(held)
+    fields = sorted(columns)
+    types = (",".join(sorted(TYPES[x] for x in {v[0] for v in columns[f] if v})) for f in fields)
+    signature = FIELD.join(f"{_escaped(f)}{PART}{t}" for f, t in zip(fields, types))
+    return signature, [sizes.get(f, 0) for f in fields], [ITEM.join(columns[f]) for f in fields], ITEM.join(ids), places, bits
 
 
 def headers(
     files: DataFrame, records: Sequence[str], file_id: str = "file_id", series: str = "source_key", at: str = "exported_at", payload: str = "payload", keep: Sequence[str] = (), whole: bool = False
 ) -> DataFrame:
-    """(row, file_id, series, at, kept, objects, fields) of every readable file: its schema, and the values by which a rename is told
+    """(row, file_id, series, at, kept, and the columns of HEADER) of every readable file: its schema, and the values by which a rename is told
     from a removal. ``kept`` is a struct of the ``keep`` columns. ``whole``: long values as they are, as ``unified`` needs them.
 
     The one reading of the payloads: written to the shared scratch folder, from where all else is made.
@@ -191,15 +181,15 @@ def headers(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, read = _Headers(), []
-            for i, text in enumerate(batch.column("payload").to_pylist()):
-                content = parse(text)
-                if content is not None:
-                    found.add(content, names, whole)
-                    read.append(i)
+            contents = [parse(p) for p in batch.column("payload").to_pylist()]
+            read = [i for i, c in enumerate(contents) if c is not None]
+            found = [_header(contents[i], names, whole) for i in read]
             heads = batch.select(["file_id", "series", "at", "kept"]).take(pa.array(read, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*heads.columns, *found.arrays()], [*heads.schema.names, "objects", "fields"])
+            made = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, *header.names])
 
+    header = T.StructType.fromDDL(HEADER)
+    arrow = [to_arrow_type(f.dataType) for f in header]
     kept = F.struct(*[F.col(f"`{k}`") for k in keep]) if keep else F.struct(F.lit(0).alias("none"))
     read = files.select(F.col(file_id).alias("file_id"), F.col(series).alias("series"), F.col(at).alias("at"), kept.alias("kept"), F.col(payload).alias("payload"))
     head = ", ".join(f"{c} {read.schema[c].dataType.simpleString()}" for c in ("file_id", "series", "at", "kept"))
@@ -232,56 +222,61 @@ def compare(before: Mapping[str, str], now: Mapping[str, str], old: Callable[[st
     return sorted(out)
 
 
-class _Side:
-    """One side of a batch of pairs of headers; values become Python's only where they are asked for."""
+def _types(signature: str) -> dict[str, str]:
+    return dict(f.split(PART) for f in signature.split(FIELD)) if signature else {}
 
-    def __init__(self, fields: pa.ListArray, objects: pa.ListArray):
-        self.upto, self.objects_upto = fields.offsets.to_pylist(), objects.offsets.to_pylist()
-        self.names, self.types = (fields.values.field(k).to_pylist() for k in ("field", "types"))
-        self.vals, self.ids = fields.values.field("vals"), objects.values.field("id")
 
-    def types_of(self, i: int) -> dict[str, str]:
-        a, b = self.upto[i], self.upto[i + 1]
-        return dict(zip(self.names[a:b], self.types[a:b]))
+def _values(signature: str, vals: pa.Scalar, ids: pa.Scalar) -> Callable[[str], dict]:
+    """A field's values by object id, taken from Arrow where they are asked for. Both stay escaped, as they are only compared."""
 
-    def values_of(self, i: int) -> Callable[[str], dict]:
-        def held(field: str) -> dict:
-            at = self.names.index(field, self.upto[i], self.upto[i + 1])
-            a, b = self.objects_upto[i], self.objects_upto[i + 1]
-            vals, ids = self.vals[at].as_py(), self.ids.slice(a, b - a).to_pylist()
-            return {k: v for k, v in zip(ids, vals) if k is not None and v is not None}
+    def held(field: str) -> dict:
+        found = zip(ids.as_py().split(ITEM), vals[list(_types(signature)).index(field)].as_py().split(ITEM))
+        return {k: v for k, v in found if k and v}
 
-        return held
+    return held
 
 
 def changes(heads: DataFrame) -> DataFrame:
     """(file_id, prev_file_id, field_path, change, old_types, new_types, new_field): the ordered log of changes between headers.
 
-    Who precedes whom is found on keys alone, in blocks of a day; the headers then meet by row, so that
-    a series with very many files is no hot key.
+    Who precedes whom is found on keys and signatures alone, in blocks of a day; where signatures differ, the headers' values then meet
+    by row, so that a series with very many files is no hot key.
     """
-    first = heads.groupBy("file_id").agg(F.min(F.struct("at", "series", "row")).alias("_first")).select("file_id", "_first.*")
-    order = with_previous(first, ["series"], F.to_date("at"), ["at", "file_id"], ["file_id", "row"])
-    pairs = order.where(F.col("prev_row").isNotNull()).select("row", "prev_row", "prev_file_id")
-    new = heads.select("row", "file_id", F.col("fields").alias("new"), F.col("objects").alias("new_objects"))
-    old = heads.select(F.col("row").alias("prev_row"), F.col("fields").alias("old"), F.col("objects").alias("old_objects"))
-    both = pairs.join(new, "row").join(old, "prev_row").select("file_id", "prev_file_id", "old", "old_objects", "new", "new_objects")
+    first = heads.groupBy("file_id").agg(F.min(F.struct("at", "series", "row", "signature")).alias("_first")).select("file_id", "_first.*")
+    order = with_previous(first, ["series"], F.to_date("at"), ["at", "file_id"], ["file_id", "row", "signature"])
+    pairs = order.where(F.col("prev_row").isNotNull() & (F.col("signature") != F.col("prev_signature"))).select("row", "prev_row", "file_id", "prev_file_id", "signature", "prev_signature")
+    new = heads.select("row", F.col("vals").alias("new"), F.col("ids").alias("new_ids"))
+    old = heads.select(F.col("row").alias("prev_row"), F.col("vals").alias("old"), F.col("ids").alias("old_ids"))
+    both = pairs.join(new, "row").join(old, "prev_row").drop("row", "prev_row")
     ids = heads.schema["file_id"].dataType.simpleString()
     names_out = ["field_path", "change", "old_types", "new_types", "new_field"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            old, new = (_Side(batch.column(k), batch.column(f"{k}_objects")) for k in ("old", "new"))
-            rows = [(i, *c) for i in range(batch.num_rows) for c in compare(old.types_of(i), new.types_of(i), old.values_of(i), new.values_of(i))]
+            rows = []
+            signatures = zip(batch.column("prev_signature").to_pylist(), batch.column("signature").to_pylist())
+            for i, (was, now) in enumerate(signatures):
+                old, new = (_values(s, batch.column(k)[i], batch.column(f"{k}_ids")[i]) for s, k in ((was, "old"), (now, "new")))
+                rows += [(i, *c) for c in compare(_types(was), _types(now), old, new)]
             heads = batch.select(["file_id", "prev_file_id"]).take(pa.array([r[0] for r in rows], pa.int64()))
-            made = [pa.array([r[k + 1] for r in rows], pa.string()) for k in range(len(names_out))]
+            made = [pa.array([r[k + 1] if k in (1, 2, 3) or r[k + 1] is None else _unescaped(r[k + 1]) for r in rows], pa.string()) for k in range(len(names_out))]
             yield pa.RecordBatch.from_arrays([*heads.columns, *made], [*heads.schema.names, *names_out])
 
     return both.mapInArrow(run, f"file_id {ids}, prev_file_id {ids}, field_path string, change string, old_types string, new_types string, new_field string")
 
 
+def _unescaped(text: str) -> str:
+    for letter, escape in reversed(ESCAPES.items()):
+        text = text.replace(escape, letter)
+    return text
+
+
+def _unescaped_column(text: Column) -> Column:
+    for letter, escape in reversed(ESCAPES.items()):
+        text = F.replace(text, F.lit(escape), F.lit(letter))
+    return text
+
+
 def differences(files: DataFrame, records: Sequence[str], **names: str) -> DataFrame:
     """The log of ``changes`` of files."""
     return changes(headers(files, records, **names))
@@ -320,16 +315,23 @@ def fold_names(log: DataFrame) -> dict[str, str]:
     return {f: root(f) for f in group if root(f) != f}
 
 
+def _fields_of(signature: Column) -> Column:
+    """The fields of a signature, types behind them; an empty one has none."""
+    return F.when(signature == "", F.array().cast("array<string>")).otherwise(F.split(signature, FIELD))
+
+
 def fold_schema(heads: DataFrame, renames: dict[str, str] | None = None) -> dict[str, str]:
     """The union schema: every field with the least type that holds all its values.
 
     Types are gathered as bits, pre-aggregated; one row a field, the size of a schema, reaches the driver.
     """
     kinds = [*SIZES, "double", "boolean", "array"]
+    parts = F.split("f.field", PART)
     sized = F.element_at(F.array(*map(F.lit, SIZES)), F.col("f.size") + 1)
-    kind = F.explode(F.transform(F.split("f.types", ","), lambda t: F.when(t == "integer", sized).otherwise(t)))
+    kind = F.explode(F.transform(F.split(parts[1], ","), lambda t: F.when(t == "integer", sized).otherwise(t)))
     bit = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, 1 << i)]), F.col("kind"))
-    found = heads.select(F.explode("fields").alias("f")).select("f.field", kind.alias("kind")).groupBy("field").agg(F.bit_or(bit).alias("kinds"))
+    fields = F.explode(F.arrays_zip(_fields_of(F.col("signature")).alias("field"), F.col("sizes").alias("size"))).alias("f")
+    found = heads.select(fields).select(_unescaped_column(parts[0]).alias("field"), kind.alias("kind")).groupBy("field").agg(F.bit_or(bit).alias("kinds"))
     union: dict[str, str] = {}
     for r in sorted(found.collect()):
         field = (renames or {}).get(r["field"], r["field"])
@@ -346,18 +348,24 @@ def unified_of(heads: DataFrame, records: Sequence[str], schema: dict[str, str]
     sources = {f: [f, *sorted(n for n, to in renames.items() if to == f)] for f in sorted(union)}
     names = {n: f"_{i}" for i, n in enumerate(dict.fromkeys(n for found in sources.values() for n in found))}
     kept = [c for c in heads.schema["kept"].dataType.names if c != "none"]
-    by_field = F.map_from_arrays("fields.field", "fields.vals")
-    zipped = F.arrays_zip(F.col("objects").alias("object"), *[F.coalesce(F.element_at("_m", F.lit(n)), F.array().cast("array<string>")).alias(at) for n, at in names.items()])
-    rows = heads.select("file_id", "kept", "objects", by_field.alias("_m")).select("file_id", "kept", F.explode(zipped).alias("z"))
-    parts = F.filter(F.array(*[F.when(F.col("z.object.held").bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(records)]), lambda x: x.isNotNull())
+    of_field = F.transform(_fields_of(F.col("signature")), lambda f: _unescaped_column(F.split(f, PART)[0]))
+    listed = lambda text: F.split(text, ITEM)
+    values = [F.coalesce(listed(F.element_at("_m", F.lit(n))), F.array().cast("array<string>")).alias(at) for n, at in names.items()]
+    zipped = F.arrays_zip(F.col("places").alias("pos"), F.col("held").alias("held"), listed(F.col("ids")).alias("id"), *values)
+    rows = heads.where(F.size("places") > 0).withColumn("_m", F.map_from_arrays(of_field, "vals")).select("file_id", "kept", F.explode(zipped).alias("z"))
+    parts = F.filter(F.array(*[F.when(F.col("z.held").bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(records)]), lambda x: x.isNotNull())
     rows = rows.select("file_id", "kept", "z", F.explode(parts).alias("record"))
 
+    def plain(text: Column) -> Column:
+        """A list's element without its letter; null if it is empty."""
+        return F.when(text != "", _unescaped_column(F.substring(text, 2, 2**31 - 1)))
+
     def cast(field: str, kind: str) -> Column:
-        value = F.coalesce(*[F.when(F.col("record") == n.split(".", 1)[0], F.col(f"z.{names[n]}")) for n in sources[field]])
-        return F.substring(value, 2, 2**31 - 1).try_cast(SPARK_TYPE[kind]).alias(field.replace(".", "__"))
+        value = F.coalesce(*[F.when((F.col("record") == n.split(".", 1)[0]) & (F.col(f"z.{names[n]}") != ""), F.col(f"z.{names[n]}")) for n in sources[field]])
+        return plain(value).try_cast(SPARK_TYPE[kind]).alias(field.replace(".", "__"))
 
     return rows.select(
-        "file_id", *[F.col(f"kept.`{k}`") for k in kept], F.col("z.object.pos").alias("object_pos"), F.col("z.object.id").alias("object_id"), "record", *(cast(f, k) for f, k in sorted(union.items()))
+        "file_id", *[F.col(f"kept.`{k}`") for k in kept], F.col("z.pos").alias("object_pos"), plain(F.col("z.id")).alias("object_id"), "record", *(cast(f, k) for f, k in sorted(union.items()))
     )
 
 
