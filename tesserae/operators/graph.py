@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.plans.model import SceneTables
 
-ORD = "struct<phase:int,obj_pos:int,owner:string,part:int,item:int,inner:int,rank:int>"
+ORD = "struct<phase:int,obj_pos:bigint,owner:string,part:int,item:int,inner:int,rank:int>"
 NODES = f"array<struct<ord:{ORD},id:string,label:string,kind:string>>"
 EDGES = f"array<struct<ord:{ORD},source:string,target:string,relationship:string>>"
 RELATIONSHIPS = ("parent", "collection", "child", "constraint", "material", "texture", "image", "animation", "references")

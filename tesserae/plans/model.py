@@ -18,7 +18,7 @@ ANIMATION = f"struct<fcurves:int,is_animated:boolean,curves:array<{CURVE}>>"
 TRANSFORM = "struct<location:array<double>,rotation_euler:array<double>,rotation_quaternion:array<double>,scale:array<double>>"
 
 SCENES = "scene_id string, name string, frame_start int, frame_end int, fps double, units string, render_engine string"
-COLLECTIONS = "scene_id string, coll_pos int, name string, id string, parent string"
+COLLECTIONS = "scene_id string, coll_pos long, name string, id string, parent string"
 OBJECTS = (
     "scene_id string, obj_pos int, name string, id string, type string, collection string, parent string, children array<string>, "
     f"visibility struct<hide_render:boolean,hide_viewport:boolean>, mesh {MESH}, materials array<{MATERIAL}>, modifiers array<{MODIFIER}>, "
@@ -28,7 +28,7 @@ OBJECTS = (
 MATERIALS = "scene_id string, item_pos int, name string, shader string, node_tree string, image_textures array<string>, settings string"
 #: Scene-level lights, textures and images stay free-form JSON texts.
 FREE = "scene_id string, item_pos int, item string"
-ASSETS = "scene_id string, asset_pos int, path string, kind string, size_bytes long, frame_start int, frame_end int"
+ASSETS = "scene_id string, asset_pos long, path string, kind string, size_bytes long, frame_start int, frame_end int"
 
 
 def schema(ddl: str) -> T.StructType:
@@ -80,7 +80,7 @@ def from_deliveries(objects: DataFrame, collections: DataFrame, assets: DataFram
         listed("particle_systems", "struct<name:string,count:int>"), "transform", "camera", listed("referenced_assets", "string"),
     )
     colls = newest(collections.where(F.col("id").isNotNull()), ["scene_id", "id"], at)
-    colls = colls.select("scene_id", F.col("row_id").cast("int").alias("coll_pos"), F.coalesce("name", F.lit("")).alias("name"), "id", "parent")
+    colls = colls.select("scene_id", F.col("row_id").alias("coll_pos"), F.coalesce("name", F.lit("")).alias("name"), "id", "parent")
 
     def empty(ddl: str) -> DataFrame:
         return spark.createDataFrame([], schema(ddl))

@@ -19,7 +19,7 @@ def tables(spark: SparkSession, d: str) -> model.SceneTables:
     n, unbounded = F.col("asset_pos"), F.col("asset_pos") % 10 == 0
     start = F.when(~unbounded, n % 100 + 1).cast("int")
     assets = registered.select(
-        "scene_id", F.col("asset_pos").cast("int").alias("asset_pos"), "path", F.lit("blend").alias("kind"), (F.length("path") * 1000 + n * 17).cast("long").alias("size_bytes"),
+        "scene_id", "asset_pos", "path", F.lit("blend").alias("kind"), (F.length("path") * 1000 + n * 17).cast("long").alias("size_bytes"),
         start.alias("frame_start"), (start + 49).alias("frame_end"),
     )
     return model.from_deliveries(table(spark, d, "scene_objects"), table(spark, d, "collections"), assets)

@@ -111,7 +111,9 @@ def _only(t: SceneTables, scene_id: str | None) -> SceneTables:
 
 
 def document(t: SceneTables, scene_id: str | None = None) -> dict:
-    """The document of one scene."""
+    """The document of one scene; of several held ``scene_id`` names it."""
+    if scene_id is None and len(t.scenes.select("scene_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("several scenes; name one")
     t = _only(t, scene_id)
     counters = stats.export_statistics(t).drop("scene_id").first()
     meta = t.scenes.first()

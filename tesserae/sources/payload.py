@@ -75,7 +75,7 @@ def metadata(rows: DataFrame, strict: bool = True) -> DataFrame:
 
 def collections(rows: DataFrame, strict: bool = True) -> DataFrame:
     x = lambda k: C.child(F.col("x"), k)
-    return _each(rows, "collections", "coll_pos", strict).select("scene_id", "coll_pos", C.text(x("name")).alias("name"), C.text(x("id")).alias("id"), C.optional_text(x("parent")).alias("parent"))
+    return _each(rows, "collections", "coll_pos", strict).select("scene_id", F.col("coll_pos").cast("long").alias("coll_pos"), C.text(x("name")).alias("name"), C.text(x("id")).alias("id"), C.optional_text(x("parent")).alias("parent"))
 
 
 def materials(rows: DataFrame, strict: bool = True) -> DataFrame:
@@ -126,7 +126,7 @@ def assets(rows: DataFrame) -> DataFrame:
     x = lambda k: C.child(F.col("x"), k)
     plain = lambda v, default: F.when(v.isNull(), F.lit(default)).otherwise(F.try_variant_get(v, "$", "string"))
     none = F.lit(None).cast("int")
-    found = rows.select("scene_id", F.posexplode(C.items(C.child(F.col("v"), "assets"))).alias("asset_pos", "x")).where(C.is_object(F.col("x")))
+    found = rows.select("scene_id", F.posexplode(C.items(C.child(F.col("v"), "assets"))).alias("asset_pos", "x")).where(C.is_object(F.col("x"))).withColumn("asset_pos", F.col("asset_pos").cast("long"))
     return found.select(
         "scene_id", "asset_pos", plain(x("path"), "").alias("path"), plain(x("kind"), "unknown").alias("kind"), C.integer(x("size_bytes"), 0, True, "bigint").alias("size_bytes"),
         none.alias("frame_start"), none.alias("frame_end"),

@@ -2,11 +2,13 @@
 
 import json
 import os
+import sys
+import types
 
 import pytest
 
 from tesserae import cli
-from tesserae.engine import Request, SceneEngine
+from tesserae.engine import Request, SceneEngine, SceneLoader
 from tesserae.operators import changes
 from tesserae.sources import cache, export, payload
 from tesserae.streaming import scan
@@ -69,8 +71,20 @@ def test_loading(spark, tmp_path):
     binary = tmp_path / "x.BLEND"
     binary.write_bytes(b"1")
     assert SceneEngine(spark).load(binary)["metadata"]["name"] == "x"
-    assert SceneEngine(spark, "prog", lambda p, f: json.dumps({"by": p})).load(binary) == {"by": "prog"}
-    assert SceneEngine(spark, read_binary=lambda p, f: 1 / 0).load(binary, "prog")["metadata"]["fps"] == 24.0
+    assert SceneEngine(spark, "prog", "s.py", lambda p, s, f: json.dumps({"by": p + s})).load(binary) == {"by": "progs.py"}
+    assert SceneEngine(spark, read_binary=lambda p, s, f: 1 / 0).load(binary, "prog", "s.py")["metadata"]["fps"] == 24.0
+    with pytest.raises(ValueError, match="script"):
+        SceneEngine(spark, "prog").load(binary)
+    with pytest.raises(RuntimeError, match="adapter"):
+        SceneLoader().load("x")
+    inside = types.ModuleType("host_application")
+    sys.modules["host_application"] = inside
+    assert SceneEngine(spark, host_module="host_application").load(binary)["metadata"]["name"] == "x"
+    inside.context = None
+    with pytest.raises(NotImplementedError):
+        SceneEngine(spark, host_module="host_application").load(binary)
+    inside.load_scene = lambda source: PAYLOAD
+    assert SceneLoader(inside, SceneEngine(spark)).load("x").objects.count() == 2
     with pytest.raises(FileNotFoundError):
         SceneEngine(spark).load(tmp_path / "none.json")
     (tmp_path / "l.json").write_text("[1]")
@@ -100,6 +114,10 @@ def test_command_line(spark, tmp_path, source, capsys):
     assert "Scene snapshot written" in said.out and "Warning" in said.err
     assert cli.main([str(source), *out]) == 0 and "No changes detected" in capsys.readouterr().out
     assert cli.main([str(tmp_path / "none.json")]) == 1
+    (tmp_path / "b.blend").write_bytes(b"1")
+    assert cli.main([str(tmp_path / "b.blend"), *out, "--blender-executable", "prog"]) == 1 and "reader script" in capsys.readouterr().err
+    plain = vars(cli.parser().parse_args(["in", "--no-graph", "--package", "--frame-end", "9"]))
+    assert Request(**plain) == Request("in", build_graph=False, build_package=True, frame_end=9)
     source.write_text("{broken")
     assert cli.main([str(source), *out]) == 1
 
@@ -137,6 +155,8 @@ def test_records_of_many_scenes(spark, tmp_path):
     t = payload.normalize(payload.payloads_of(spark, texts))
     export.write_records(t, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/objects")).count() == 4
+    with pytest.raises(ValueError, match="several scenes"):
+        export.document(t)
     assert export.document(t, "s2")["metadata"]["scene_name"] == "S"
 
 
