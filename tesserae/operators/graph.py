@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.plans.model import SceneTables
+from tesserae.session import Scratch
 
 ORD = "struct<phase:int,obj_pos:bigint,owner:string,part:int,item:int,inner:int,rank:int>"
 NODES = f"array<struct<ord:{ORD},id:string,label:string,kind:string>>"
@@ -101,6 +102,12 @@ def edge_stream(t: SceneTables) -> DataFrame:
     return t.objects.select("scene_id", F.inline(made))
 
 
+def stored(t: SceneTables) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, written to the shared scratch folder: what walks the graph reads both again and again."""
+    scratch = Scratch(t.spark, "graph")
+    return scratch.save(nodes(t))[0], scratch.save(edges(t))[0]
+
+
 def nodes(t: SceneTables) -> DataFrame:
     """(scene_id, id, label, kind, ord): unique nodes, the first mention wins. Pre-aggregated."""
     first = F.min_by(F.struct("label", "kind"), "ord").alias("_first")

@@ -32,7 +32,7 @@ def costs(t: SceneTables, nodes: DataFrame, edges: DataFrame, start: int, end: i
     asset that is listed twice counts twice, and frame bounds have no say.
     """
     shown = visibility.report_by_chunk(t, chunks(start, end, workers))
-    found = reach.reachable_assets(nodes, edges, shown.withColumnRenamed("object_id", "node"), ["worker"])
+    found = reach.reachable_assets(nodes, edges, shown.withColumnRenamed("object_id", "node"), "worker", workers)
     sizes = t.assets.groupBy("scene_id", "path").agg(F.sum("size_bytes").alias("_bytes"))
     known = nodes.where("kind = 'asset'").select("scene_id", F.col("label").alias("path")).distinct()
     needed = found.join(sizes, ["scene_id", "path"]).groupBy("scene_id", "worker").agg(F.sum("_bytes").alias("_needed"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.session import Scratch
+
 KEYFRAME = "struct<frame:int,value:double,interpolation:string>"
 CURVE = f"struct<name:string,data_path:string,array_index:int,interpolation:string,keyframes:array<{KEYFRAME}>>"
 MESH = "struct<name:string,vertex_count:int,face_count:int,edge_count:int,triangle_count:int,uv_map_count:int,vertex_group_count:int,has_normals:boolean>"
@@ -49,11 +51,56 @@ class SceneTables:
     assets: DataFrame
     notes: dict[str, str] = field(default_factory=dict)
 
+    def stored(self, *names: str) -> SceneTables:
+        """The same with these tables written to the shared scratch folder, for plans that read them several times."""
+        scratch = Scratch(self.spark, "scenes")
+        return replace(self, **{n: scratch.save(getattr(self, n))[0] for n in names})
+
     @property
     def spark(self) -> SparkSession:
         return self.objects.sparkSession
 
 
+def _defaulted(x: Column, of: str, **defaults: object) -> Column:
+    """A struct with defaults for null fields."""
+    return F.struct(*[F.coalesce(x[f.name], F.lit(defaults[f.name])).alias(f.name) if f.name in defaults else x[f.name].alias(f.name) for f in T.DataType.fromDDL(of)]).cast(of)
+
+
+def typed_objects(rows: DataFrame) -> DataFrame:
+    """Delivered rows as the normalizer would give them, without a way through JSON: a null counts as a missing key, null elements are dropped.
+
+    Reads the columns that are asked for and no others; keeps ``rows``' columns.
+    """
+
+    def listed(c: str, make) -> Column:
+        return F.transform(F.filter(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)), lambda x: x.isNotNull()), make)
+
+    def material(m: Column) -> Column:
+        textures = F.filter(F.coalesce(m["image_textures"], F.array().cast("array<string>")), lambda t: t.isNotNull())
+        return F.struct(*[F.coalesce(m[k], F.lit("")).alias(k) for k in ("name", "shader", "node_tree")], textures.alias("image_textures"), F.coalesce(m["settings"], F.lit("{}")).alias("settings"))
+
+    def curve(c: Column) -> Column:
+        keys = F.filter(F.coalesce(c["keyframes"], F.array().cast(f"array<{KEYFRAME}>")), lambda k: k.isNotNull())
+        keys = F.transform(keys, lambda k: _defaulted(k, KEYFRAME, frame=0, value=0.0, interpolation=""))
+        texts = [F.coalesce(c[k], F.lit("")).alias(k) for k in ("name", "data_path")]
+        return F.struct(*texts, F.coalesce(c["array_index"], F.lit(-1)).alias("array_index"), F.coalesce(c["interpolation"], F.lit("")).alias("interpolation"), keys.alias("keyframes"))
+
+    zero = {f"{k}_count": 0 for k in ("vertex", "face", "edge", "triangle", "uv_map", "vertex_group")}
+    moves = F.col("animation")
+    curves = F.transform(F.filter(F.coalesce(moves["curves"], F.array().cast(f"array<{CURVE}>")), lambda c: c.isNotNull()), curve)
+    plain = lambda x: F.coalesce(x, F.lit(""))
+    made = {
+        "mesh": F.when(F.col("mesh").isNotNull(), _defaulted(F.col("mesh"), MESH, name="", has_normals=True, **zero)),
+        "materials": listed("materials", material),
+        "modifiers": listed("modifiers", lambda m: _defaulted(m, MODIFIER, name="", type="", subtype="", show_viewport=True, show_render=True, settings="{}")),
+        "constraints": listed("constraints", lambda c: _defaulted(c, CONSTRAINT, name="", type="", influence=1.0, settings="{}")),
+        "animation": F.when(moves.isNotNull(), F.struct(F.coalesce(moves["fcurves"], F.lit(0)).alias("fcurves"), F.coalesce(moves["is_animated"], F.lit(False)).alias("is_animated"), curves.alias("curves"))),
+        "children": listed("children", plain),
+        "referenced_assets": listed("referenced_assets", plain),
+    }
+    return rows.withColumns(made)
+
+
 def newest(df: DataFrame, keys: list[str], at: list[str]) -> DataFrame:
     """Of several rows of one key the last by ``at``; pre-aggregated, no window over a key."""
     rest = [c for c in df.columns if c not in keys]

@@ -28,9 +28,9 @@ def tables(spark: SparkSession, d: str) -> model.SceneTables:
 def row_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Every delivered object as a payload of its own, to go through the normalizer; the row's id names the scene."""
     rows = table(spark, d, "scene_objects")
-    plain = ["name", "id", "type", "collection", "parent", "children", "visibility", "mesh", "modifiers", "constraints", "animation", "bones", "referenced_assets"]
+    plain = ["name", "id", "type", "collection", "parent", "children", "visibility", "mesh", "modifiers", "constraints", "animation", "bones", "particle_systems", "transform", "referenced_assets"]
     listed = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
-    obj = F.struct(*(listed(c) if rows.schema[c].dataType.typeName() == "array" else F.col(c) for c in plain), listed("materials"))
+    obj = F.struct(*(listed(c) if rows.schema[c].dataType.typeName() == "array" else F.col(c) for c in plain), listed("materials"), F.try_parse_json("camera").alias("camera"))
     assets = F.transform(F.filter("referenced_assets", lambda a: a.isNotNull()), lambda a, i: F.struct(a.alias("path"), (F.length(a) * 1000 + i).alias("size_bytes")))
     body = F.struct(F.array(obj).alias("objects"), listed("materials"), F.coalesce(assets, F.array().cast("array<struct<path:string,size_bytes:int>>")).alias("assets"))
     return rows.select(F.col("row_id").cast("string").alias("scene_id"), F.to_json(body).alias("payload"))
@@ -61,13 +61,41 @@ def normalize_collections(spark, d):
     return payload.collections(payload.parsed(file_payloads(spark, d), strict=False), strict=False).withColumnRenamed("scene_id", "file_id")
 
 
-def _objects(spark, d):
+def _payload_objects(spark, d):
     return payload.objects(_rows(spark, d), strict=False).withColumn("row_id", F.col("scene_id").cast("long"))
 
 
 def normalize_objects(spark, d):
     joined = lambda c: F.array_join(c, "|").alias(c)
-    return _objects(spark, d).select("row_id", "name", "id", "type", "collection", "parent", joined("children"), "visibility.hide_render", "visibility.hide_viewport", joined("referenced_assets"), F.size("bones").alias("bones"))
+    systems = F.array_join(F.transform("particle_systems", lambda p: F.concat_ws(":", p["name"], p["count"].cast("string"))), "|").alias("particle_systems")
+    place = [F.get(f"transform.{k}", F.lit(0)).alias(f"{k}_x") for k in ("location", "rotation_euler", "rotation_quaternion", "scale")]
+    return _payload_objects(spark, d).select(
+        "row_id", "name", "id", "type", "collection", "parent", joined("children"), "visibility.hide_render", "visibility.hide_viewport", joined("referenced_assets"),
+        F.array_join(F.transform("bones", lambda b: F.concat_ws("<", b["name"], b["parent"])), "|").alias("bones"), systems, *place, F.get_json_object("camera", "$.lens").cast("double").alias("lens"),
+    )
+
+
+def _file_objects(spark, d):
+    """The objects of the raw files, with all that is wrong with them."""
+    rows = payload.objects(payload.parsed(file_payloads(spark, d), strict=False), strict=False)
+    return rows.withColumn("file_id", F.col("scene_id").cast("long"))
+
+
+def file_objects(spark, d):
+    names = F.array_join(F.transform("materials", lambda m: F.concat_ws("/", m["name"], m["shader"])), "|").alias("materials")
+    return _file_objects(spark, d).select("file_id", "obj_pos", "id", "name", "type", "collection", "parent", "visibility.hide_render", "visibility.hide_viewport", names, F.size("constraints").alias("constraints"))
+
+
+def file_meshes(spark, d):
+    return _file_objects(spark, d).where(F.col("mesh").isNotNull()).select("file_id", "obj_pos", *(f"mesh.{c}" for c in ("name", "vertex_count", "face_count", "edge_count", "uv_map_count", "has_normals")))
+
+
+def file_animations(spark, d):
+    return _file_objects(spark, d).where(F.col("animation").isNotNull()).select("file_id", "obj_pos", "animation.fcurves", "animation.is_animated", F.size("animation.curves").alias("curves"))
+
+
+def _objects(spark, d):
+    return model.typed_objects(table(spark, d, "scene_objects"))
 
 
 def normalize_materials(spark, d):
@@ -190,14 +218,19 @@ def visibility_report(spark, d):
     return visibility.report(tables(spark, d), START, END)
 
 
+def _stored(spark: SparkSession, d: str) -> tuple[model.SceneTables, DataFrame, DataFrame]:
+    """Scenes and their graph, each made once."""
+    t = tables(spark, d).stored("objects", "collections", "assets")
+    return t, *graph.stored(t)
+
+
 def reachable_assets(spark, d):
-    t = tables(spark, d)
-    return reach.reachable_assets(graph.nodes(t), graph.edges(t), packaging.visible_seeds(t, START, END))
+    t, nodes, edges = _stored(spark, d)
+    return reach.reachable_assets(nodes, edges, packaging.visible_seeds(t, START, END))
 
 
 def asset_prune(spark, d):
-    t = tables(spark, d)
-    return packaging.pruned_for(t, graph.nodes(t), graph.edges(t), START, END).select("scene_id", "path", "size_bytes", "is_kept")
+    return packaging.pruned_for(*_stored(spark, d), START, END).select("scene_id", "path", "size_bytes", "is_kept")
 
 
 def package_frame_range(spark, d):
@@ -209,8 +242,7 @@ def package_manifest(spark, d):
 
 
 def package_optimized(spark, d):
-    t = tables(spark, d)
-    return packaging.optimized(t, graph.nodes(t), graph.edges(t), START, END)
+    return packaging.optimized(*_stored(spark, d), START, END)
 
 
 def schedule_chunks(spark, d):
@@ -223,8 +255,7 @@ def schedule_visibility(spark, d):
 
 
 def _costs(spark, d):
-    t = tables(spark, d)
-    return scheduling.costs(t, graph.nodes(t), graph.edges(t), START, LAST, WORKERS)
+    return scheduling.costs(*_stored(spark, d), START, LAST, WORKERS)
 
 
 def schedule_costs(spark, d):
@@ -286,7 +317,7 @@ def first_listing(spark, d):
 
 
 _ALL = [
-    asset_scan, normalize_metadata, normalize_collections, normalize_objects, normalize_materials, mesh_topology, object_materials, object_modifiers, object_constraints, object_references,
+    file_objects, file_meshes, file_animations, asset_scan, normalize_metadata, normalize_collections, normalize_objects, normalize_materials, mesh_topology, object_materials, object_modifiers, object_constraints, object_references,
     keyframe_flatten, scene_statistics, export_statistics, relationships_parent, relationships_child, relationships_collection, relationships_all, collection_members, graph_nodes, graph_edges,
     *map(_edges_of, graph.RELATIONSHIPS), graph_statistics, missing_targets, unused_nodes, integrity_report, integrity_preview, integrity_warnings, visibility_static, visibility_state,
     visibility_in_range, visibility_held, visibility_report, reachable_assets, asset_prune, package_frame_range, package_manifest, package_optimized, schedule_chunks, schedule_visibility,
@@ -404,6 +435,26 @@ def _tx(c: str) -> str:
 
 _JSON = r"j AS (SELECT file_id, p FROM (SELECT file_id, regexp_replace(payload, '^[^{]*', '') AS p FROM scene_files) WHERE json_valid(p))"
 
+_FILE_OBJECTS = f"{_JSON}, fo AS (SELECT file_id, i, p -> ('$.objects[' || i || ']') AS x FROM (SELECT file_id, p, unnest(range(json_array_length(p, '$.objects')::BIGINT)) AS i FROM j))"
+
+
+def _text_of(path: str) -> str:
+    return f"CASE WHEN json_type(x, '$.{path}') = 'NULL' THEN 'None' ELSE coalesce(x ->> '$.{path}', '') END"
+
+
+def _int_of(path: str) -> str:
+    """Missing 0; texts only if they spell an integer; lists and nulls none."""
+    v = f"(x ->> '$.{path}')"
+    return f"""CASE WHEN json_type(x, '$.{path}') IS NULL THEN 0 WHEN json_type(x, '$.{path}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN trunc({v}::DOUBLE)::INT
+        WHEN json_type(x, '$.{path}') = 'VARCHAR' AND regexp_full_match(trim({v}), '[+-]?[0-9]+') THEN trim({v})::INT WHEN json_type(x, '$.{path}') = 'BOOLEAN' THEN {v}::BOOLEAN::INT END"""
+
+
+def _flag_of(path: str, default: str) -> str:
+    v = f"(x ->> '$.{path}')"
+    return f"""CASE json_type(x, '$.{path}') WHEN 'NULL' THEN false WHEN 'BOOLEAN' THEN {v}::BOOLEAN WHEN 'VARCHAR' THEN {v} <> '' WHEN 'ARRAY' THEN json_array_length(x, '$.{path}') > 0
+        WHEN 'UBIGINT' THEN {v} <> '0' WHEN 'BIGINT' THEN true WHEN 'DOUBLE' THEN {v}::DOUBLE <> 0 ELSE {default} END"""
+
+
 SQL = {
     "asset_scan": f"SELECT row_id, pos AS asset_pos, path, 'blend' AS kind, size_bytes FROM ({_each('referenced_assets', 'l[i] AS path, (length(l[i]) * 1000 + i - 1)::BIGINT AS size_bytes')})".replace("'blend' AS kind", "'unknown' AS kind"),
     "normalize_metadata": f"""WITH {_JSON} SELECT file_id::VARCHAR AS file_id, coalesce(p ->> '$.metadata.name', '') AS name, coalesce((p ->> '$.metadata.frame_start')::INT, 1) AS frame_start, coalesce((p ->> '$.metadata.frame_end')::INT, 250) AS frame_end,
@@ -411,7 +462,18 @@ SQL = {
     "normalize_collections": f"""WITH {_JSON} SELECT file_id::VARCHAR AS file_id, i::INT AS coll_pos, coalesce(x ->> '$.name', '') AS name, coalesce(x ->> '$.id', '') AS id, x ->> '$.parent' AS parent
         FROM (SELECT file_id, i, p -> ('$.collections[' || i || ']') AS x FROM (SELECT file_id, p, unnest(range(json_array_length(p, '$.collections')::BIGINT)) AS i FROM j))""",
     "normalize_objects": f"""SELECT row_id, {_t("name")} AS name, {_t("id")} AS id, {_t("type")} AS type, collection, parent, {_tx("children")} AS children, coalesce(visibility.hide_render, false) AS hide_render,
-        coalesce(visibility.hide_viewport, false) AS hide_viewport, {_tx("referenced_assets")} AS referenced_assets, len(list_filter(coalesce(bones, []), lambda x: x IS NOT NULL))::INT AS bones FROM scene_objects""",
+        coalesce(visibility.hide_viewport, false) AS hide_viewport, {_tx("referenced_assets")} AS referenced_assets,
+        array_to_string(list_transform(list_filter(coalesce(bones, []), lambda x: x IS NOT NULL), lambda b: concat_ws('<', coalesce(b.name, ''), b.parent)), '|') AS bones,
+        array_to_string(list_transform(list_filter(coalesce(particle_systems, []), lambda x: x IS NOT NULL), lambda p: coalesce(p.name, '') || ':' || coalesce(p.count, 0)), '|') AS particle_systems,
+        {", ".join(f"list_filter(transform.{k}, lambda x: x IS NOT NULL)[1] AS {k}_x" for k in ("location", "rotation_euler", "rotation_quaternion", "scale"))},
+        (camera ->> '$.lens')::DOUBLE AS lens FROM scene_objects""",
+    "file_objects": f"""WITH {_FILE_OBJECTS} SELECT file_id, i::INT AS obj_pos, coalesce(x ->> '$.id', '') AS id, coalesce(x ->> '$.name', '') AS name, coalesce(x ->> '$.type', '') AS type, x ->> '$.collection' AS collection, x ->> '$.parent' AS parent,
+        coalesce((x ->> '$.visibility.hide_render')::BOOLEAN, false) AS hide_render, coalesce((x ->> '$.visibility.hide_viewport')::BOOLEAN, false) AS hide_viewport,
+        array_to_string(list_transform(from_json(x -> '$.materials', '["JSON"]'), lambda m: coalesce(m ->> '$.name', '') || '/' || coalesce(m ->> '$.shader', '')), '|') AS materials, coalesce(json_array_length(x, '$.constraints'), 0)::INT AS constraints FROM fo""",
+    "file_meshes": f"""WITH {_FILE_OBJECTS} SELECT file_id, i::INT AS obj_pos, {_text_of("mesh.name")} AS name, {", ".join(f"{_int_of(f'mesh.{k}_count')} AS {k}_count" for k in ("vertex", "face", "edge", "uv_map"))}, {_flag_of("mesh.has_normals", "true")} AS has_normals
+        FROM fo WHERE json_type(x, '$.mesh') = 'OBJECT'""",
+    "file_animations": f"""WITH {_FILE_OBJECTS} SELECT file_id, i::INT AS obj_pos, {_int_of("animation.fcurves")} AS fcurves, {_flag_of("animation.is_animated", "false")} AS is_animated, coalesce(json_array_length(x, '$.animation.curves'), 0)::INT AS curves
+        FROM fo WHERE json_type(x, '$.animation') = 'OBJECT'""",
     "normalize_materials": f"SELECT row_id, pos AS item_pos, name, shader, node_tree, image_textures FROM ({_kept('materials', f'{_t("l[i].name")} AS name, {_t("l[i].shader")} AS shader, {_t("l[i].node_tree")} AS node_tree, {_tx("l[i].image_textures")} AS image_textures')})",
     "mesh_topology": f"SELECT row_id, {_t('mesh.name')} AS name, " + ", ".join(f"coalesce(mesh.{k}_count, 0) AS {k}_count" for k in ("vertex", "face", "edge", "triangle", "uv_map", "vertex_group")) + ", coalesce(mesh.has_normals, true) AS has_normals FROM scene_objects WHERE mesh IS NOT NULL",
     "object_materials": _each("materials", f"{_t('l[i].name')} AS name, {_t('l[i].shader')} AS shader, {_tx('l[i].image_textures')} AS image_textures"),

@@ -49,20 +49,23 @@ def salted_join(
     spread: Column,
     hot_rows: int = HOT_ROWS,
     rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``big`` joined to ``small`` (unique on ``keys``) with hot keys of ``big`` split.
 
     Rows of ``big`` whose key is hot get a salt from ``spread`` (a column that differs
     within the key), and the one row of ``small`` for that key is repeated per salt.
     Null keys match null keys. ``how`` is inner, left, left_semi or left_anti. ``rows`` is the number of rows of
-    ``big`` at most, where it is known: no key of fewer than ``hot_rows`` rows can be hot, and nothing is counted.
+    ``big`` at most, where it is known: no key of fewer than ``hot_rows`` rows can be hot, and nothing is counted. ``hot`` is what ``hot_keys``
+    gave for a side that is joined again and again.
     """
     keys = list(keys)
     theirs = [f"_key{i}" for i in range(len(keys))]
     rest = [c for c in small.columns if c not in keys]
     other = small.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], *rest)
     kept = big.columns if how in ("left_semi", "left_anti") else [*big.columns, *rest]
-    hot = None if rows is not None and rows <= hot_rows else hot_keys(big.select(*keys), keys, hot_rows)
+    if hot is None and (rows is None or rows > hot_rows):
+        hot = hot_keys(big.select(*keys), keys, hot_rows)
     if hot is None:
         return big.join(other, same(keys, theirs), how).select(*kept)
     hot = F.broadcast(hot.select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], "_salts"))

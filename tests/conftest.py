@@ -10,6 +10,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module")
+def as_in_production(spark):
+    """Small fixtures run without whole-stage code, which takes long to compile; registered queries run with it."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield spark
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture
 def rows():
     """A frame's rows as a sorted list of tuples."""

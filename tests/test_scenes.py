@@ -1,6 +1,7 @@
 """Small scenes through the normalizer and the scene operators."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import coerce as C
 from tesserae.operators import graph, packaging, reach, relations, scheduling, stats, visibility
 from tesserae.operators.tasks import Task, TaskQueue
+from tesserae.plans import model
 from tesserae.sources import extract, payload
 
 
@@ -137,11 +139,47 @@ def test_reach_packages_and_schedules(spark, rows):
     assert (s["chunk_count"], s["total_estimated_bytes"], s["max_chunk_bytes"]) == (4, 27320, 9080)
 
 
+@pytest.mark.parametrize("hot_rows", [20, 10**6])
+def test_reach_equals_brute_force(spark, hot_rows):
+    """Many start sets, a hub, a chain of 40, cycles, nulls and repeated rows."""
+    r = random.Random(6)
+    pairs = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(70)] + [("hub", f"h{i}") for i in range(60)] + [("h3", "n1"), ("n2", "hub")]
+    pairs += [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("c40", "c30"), (None, "n1"), ("n1", None)]
+    edges = [(s, a, b) for s in ("s", "t") for a, b in pairs] * 2
+    seeds = [(s, w, n) for s, w, n in ((r.choice(["s", "t", "u"]), r.randrange(130), r.choice(["c0", "hub", f"n{r.randrange(60)}"])) for _ in range(200))] + [("s", 129, None)]
+    ahead = {}
+    for s, a, b in edges:
+        if a is not None and b is not None:
+            ahead.setdefault((s, a), set()).add(b)
+    expected = set()
+    for s, w, n in seeds:
+        todo = [n] if n else []
+        while todo:
+            at = todo.pop()
+            if (s, w, at) not in expected:
+                expected.add((s, w, at))
+                todo += ahead.get((s, at), ())
+    made = [spark.createDataFrame(x, ddl) for x, ddl in ((edges, "scene_id string, source string, target string"), (seeds, "scene_id string, w int, node string"))]
+    found = reach.reachable(*made, "w", 130, hot_rows=hot_rows).collect()
+    assert len(found) == len(expected) and {tuple(x) for x in found} == expected
+
+
+def test_places_beyond_32_bits(spark, rows):
+    big = 2**31 + 5
+    objects = spark.createDataFrame([], "row_id long, exported_at timestamp, ingested_at timestamp, " + model.OBJECTS)
+    ddl = "row_id long, scene_id string, name string, id string, parent string, exported_at timestamp, ingested_at timestamp"
+    collections = spark.createDataFrame([(big, "s", "b", "b", None, None, None), (big + 1, "s", "a", "a", "b", None, None)], ddl)
+    t = model.from_deliveries(objects, collections)
+    assert rows(t.collections, "coll_pos", "id") == [(big, "b"), (big + 1, "a")]
+    assert [r["id"] for r in graph.nodes(t).orderBy("ord").collect()] == ["b", "a"]
+    assert dict(t.assets.dtypes)["asset_pos"] == "bigint"
+
+
 def test_reach_on_a_cycle_and_several_starts(spark, rows):
     edges = spark.createDataFrame([("s", a, b) for a, b in ("ab", "bc", "ca", "cd", "xy", "dd")], "scene_id string, source string, target string")
     seeds = spark.createDataFrame([("s", 1, "a"), ("s", 2, "x"), ("s", 2, "x"), ("t", 1, "a")], "scene_id string, w int, node string")
-    assert rows(reach.reachable(edges, seeds, ["w"]), "scene_id", "w", "node") == [("s", 1, c) for c in "abcd"] + [("s", 2, "x"), ("s", 2, "y"), ("t", 1, "a")]
-    assert reach.reachable(edges, seeds.limit(0), ["w"]).count() == 0
+    assert rows(reach.reachable(edges, seeds, "w", 3), "scene_id", "w", "node") == [("s", 1, c) for c in "abcd"] + [("s", 2, "x"), ("s", 2, "y"), ("t", 1, "a")]
+    assert reach.reachable(edges, seeds.limit(0), "w", 3).count() == 0
 
 
 def test_frame_range_of_assets(spark, rows):
