@@ -43,6 +43,8 @@ ESCAPES = {"\x1b": "\x1bb", FIELD: "\x1bf", PART: "\x1bp", ITEM: "\x1bi"}
 
 #: JSON types by the letter they are marked with.
 TYPES = {"i": "integer", "d": "double", "b": "boolean", "s": "string", "a": "array"}
+#: Integers up to which a double holds each.
+EXACT = 1 << 53
 #: Texts of values longer than this are compared by their digest.
 LONG = 40
 
@@ -91,20 +93,28 @@ def parse(payload: str | None) -> dict | None:
     return found
 
 
+_CONTROL = re.compile("[\x1b\x1d-\x1f]")
+
+
+def _escaped(text: str) -> str:
+    return _CONTROL.sub(lambda m: ESCAPES[m[0]], text) if _CONTROL.search(text) else text
+
+
 def _marked(value: object, whole: bool) -> str:
-    """A value as text, after the letter of its JSON type."""
-    if isinstance(value, _Huge):
-        text = "i" + value
-    elif isinstance(value, str):
-        text = "s" + value
-    elif value is True or value is False:
+    """A value as text, after the letter of its JSON type; without the letters that lists are joined by."""
+    kind = type(value)
+    if kind is int and -EXACT <= value <= EXACT:
+        return f"i{value}"
+    if kind is float:
+        return f"d{value!r}" if math.isfinite(value) else "d" + json.dumps(value)
+    if kind is bool:
         return "btrue" if value else "bfalse"
-    elif isinstance(value, int):
-        text = f"i{value}"
-    elif isinstance(value, float):
-        text = f"d{value!r}" if math.isfinite(value) else "d" + json.dumps(value)
-    else:
+    if kind is str:
+        text = "s" + _escaped(value)
+    elif kind is list:
         text = "a" + json.dumps(value, sort_keys=True)
+    else:
+        text = f"i{value}"
     if whole or len(text) <= LONG:
         return text
     return text[0] + "#" + hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
@@ -112,9 +122,9 @@ def _marked(value: object, whole: bool) -> str:
 
 def _size(value: object) -> int:
     """The place in SIZES of what holds an integer."""
-    if isinstance(value, _Huge):
+    if type(value) is _Huge:
         return 3
-    if not isinstance(value, int) or -(1 << 53) <= value <= 1 << 53:
+    if type(value) is not int or -EXACT <= value <= EXACT:
         return 0
     return 1 if -(1 << 63) <= value < 1 << 63 else 2 if abs(value) < 10**38 else 3
 
@@ -133,13 +143,6 @@ def _objects(payload: dict) -> list[dict]:
     return [o for o in found if isinstance(o, dict)] if isinstance(found, list) else []
 
 
-_CONTROL = re.compile("[\x1b\x1d-\x1f]")
-
-
-def _escaped(text: str) -> str:
-    return _CONTROL.sub(lambda m: ESCAPES[m[0]], text) if _CONTROL.search(text) else text
-
-
 def _header(payload: dict, records: Sequence[str], whole: bool) -> tuple:
     """One file's header, in the order of HEADER."""
     columns: dict[str, list[str]] = {}
@@ -153,10 +156,13 @@ def _header(payload: dict, records: Sequence[str], whole: bool) -> tuple:
                 continue
             held |= 1 << bit
             for path, value in leaves(inner, record):
-                column = columns.setdefault(path, [])
-                column.extend([""] * (n - len(column)))
-                column.append(_escaped(_marked(value, whole)))
-                if type(value) is not str and (size := _size(value)):
+                column = columns.get(path)
+                if column is None:
+                    column = columns[path] = []
+                if len(column) < n:
+                    column.extend([""] * (n - len(column)))
+                column.append(_marked(value, whole))
+                if size := _size(value):
                     sizes[path] = max(size, sizes.get(path, 0))
         if held:
             key = item.get("id")
