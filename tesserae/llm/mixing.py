@@ -108,15 +108,16 @@ def mix(
     rows = [(a.source, a.share, a.max_repeats, a.available, a.epochs, a.clamped, int(a.epochs), (a.epochs - int(a.epochs)) * a.available) for a in allotted]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens long, epochs double, clamped boolean, whole int, rest double")
 
-    # Each part's place among its source's parts: at most PARTS rows a source.
+    # The part of each source in which its fraction ends, and what the parts before it hold: one row a source. Parts are at most PARTS rows a source.
     parts = docs.groupBy("source", "part").agg(F.sum("n_tokens").alias("_sum"))
-    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).join(plan.select("source", "whole", "rest"), "source")
-    placed = placed.select("source", "part", "whole", "rest", "_before", (F.col("_before") + F.col("_sum") <= F.col("rest")).alias("_all"), (F.col("_before") >= F.col("rest")).alias("_none"))
-    joined = docs.join(placed, ["source", "part"])
-    sure = joined.where(F.col("_all") | F.col("_none")).withColumn("repeats", F.col("whole") + F.when(F.col("_all"), 1).otherwise(0))
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = parts.withColumn("_upto", F.sum("_sum").over(upto)).join(F.broadcast(plan.select("source", "rest")), "source").where(F.col("_upto") > F.col("rest"))
+    ends = ends.groupBy("source").agg(F.min(F.struct("part", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("_end"))
+    placed = plan.select("source", "whole", "rest").join(ends, "source", "left").select("source", "whole", "rest", F.coalesce("_end.part", F.lit(PARTS)).alias("_edge"), F.col("_end.before").alias("_before"))
+    joined = docs.join(F.broadcast(placed), "source")
+    sure = joined.where(F.col("part") != F.col("_edge")).withColumn("repeats", F.col("whole") + F.when(F.col("part") < F.col("_edge"), 1).otherwise(0))
     order = Window.partitionBy("source", "part").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = joined.where(~F.col("_all") & ~F.col("_none")).withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
+    edge = joined.where(F.col("part") == F.col("_edge")).withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
     # A document belongs to the fraction if more of it lies within than beyond.
     edge = edge.withColumn("repeats", F.col("whole") + F.when(F.col("_at") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0))
     columns = ["doc_id", "source", "n_tokens", "repeats"]
