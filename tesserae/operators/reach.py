@@ -3,7 +3,7 @@
 A frontier loop over edges, with what is already seen taken out at every step, as graphs are
 cyclic. Start sets that share a graph walk it together: a node is met once, with a bit for each set that has come to it.
 Only edges that lead on are walked: an edge whose target has no outgoing edge
-ends a path, so such targets are added in one last hop. Each step is written to scratch; while few nodes are new, a step
+ends a path, so such targets are added in one last hop. Each step is written to scratch; after some steps, while few nodes are new, a step
 is of several hops, twice as many each time, so that long chains take few jobs.
 """
 
@@ -19,6 +19,8 @@ from tesserae.skew import HOT_ROWS, hot_keys, salted_join
 BITS = 62
 #: New nodes up to which a step may be of several hops, and the most hops of a step.
 FEW, MOST_HOPS = 100_000, 4
+#: Steps of one hop at first, as most graphs are shallow.
+SINGLE = 4
 
 
 def _hop(frontier: DataFrame, links: DataFrame, scope: str, n_links: int, hot: DataFrame | None, hot_rows: int) -> DataFrame:
@@ -43,16 +45,17 @@ def reachable(edges: DataFrame, seeds: DataFrame, label: str | None = None, labe
     edges without a source or target lead nowhere.
     """
     scratch = Scratch(edges.sparkSession, "reach")
-    links, _ = scratch.save(edges.select(scope, "source", "target").where(F.col("source") != F.col("target")).distinct())
-    n_links = links.count()
+    plain = edges.select(scope, "source", "target").where(F.col("source") != F.col("target")).distinct()
+    sources = plain.select(F.col(scope).alias("_s"), F.col("source").alias("_n"), F.lit(True).alias("_on")).distinct()
+    on = plain.join(sources, F.col(scope).eqNullSafe(F.col("_s")) & (F.col("target") == F.col("_n")), "left")
+    links, _ = scratch.save(on.select(scope, "source", "target", F.coalesce("_on", F.lit(False)).alias("on")))
+    inner, links, n_links = links.where("on").drop("on"), links.drop("on"), links.count()
     hot = hot_keys(links, [scope, "source"], hot_rows) if n_links > hot_rows else None
-    sources = links.select(F.col(scope).alias("_s"), F.col("source").alias("_n")).distinct()
-    inner, _ = scratch.save(links.join(sources, F.col(scope).eqNullSafe(F.col("_s")) & (F.col("target") == F.col("_n")), "left_semi"))
     number = F.col(label) if label else F.lit(0)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (number % BITS).cast("int"))
     start = seeds.where(F.col("node").isNotNull()).groupBy(scope, F.floor(number / BITS).cast("int").alias("word"), "node").agg(F.bit_or(bit).alias("bits"))
     frontier, _ = scratch.save(start)
-    seen, hops, new = frontier, 1, frontier.count()
+    seen, step, hops, new = frontier, 0, 1, frontier.count()
     while new:
         steps = [frontier]
         for _ in range(hops):
@@ -65,7 +68,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, label: str | None = None, labe
         frontier, _ = scratch.save(_new(found, seen, scope))
         new = frontier.count()
         seen = seen.unionByName(frontier)
-        hops = min(2 * hops, MOST_HOPS) if new <= FEW else 1
+        step += 1
+        hops = min(2 * hops, MOST_HOPS) if new <= FEW and step >= SINGLE else 1
     seen, _ = scratch.save(seen.groupBy(scope, "word", "node").agg(F.bit_or("bits").alias("bits")))
     last = _hop(seen, links, scope, n_links, hot, hot_rows)
     everything = seen.unionByName(last).groupBy(scope, "word", "node").agg(F.bit_or("bits").alias("bits"))

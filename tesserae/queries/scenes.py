@@ -220,7 +220,7 @@ def visibility_report(spark, d):
 
 def _stored(spark: SparkSession, d: str) -> tuple[model.SceneTables, DataFrame, DataFrame]:
     """Scenes and their graph, each made once."""
-    t = tables(spark, d).stored("objects", "collections", "assets")
+    t = tables(spark, d).stored("objects")
     return t, *graph.stored(t)
 
 
