@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.operators import graph, packaging, scheduling, visibility
 from tesserae.plans.model import SceneTables
-from tesserae.session import local_session
+from tesserae.session import local_session, scratch_scope
 from tesserae.sources import export, payload
 from tesserae.sources.cache import CacheEntry, SceneCache, hash_source
 
@@ -192,23 +192,30 @@ class SceneEngine:
     def _package(self, request: Request, result: Result) -> None:
         tables, start, end = result.tables, request.frame_start, request.frame_end
         extra: dict = {}
+        with scratch_scope():
+            chosen = self._chosen(request, result, extra)
+        assets = [{"path": r["path"], "kind": r["kind"], "size_bytes": r["size_bytes"]} for r in chosen]
+        result.package = {
+            "package_id": f"pkg-{start}-{end}", "frame_start": start, "frame_end": end, "assets": assets,
+            "metadata": {"asset_count": len(assets), "required_file_count": len(assets), "total_size_bytes": sum(a["size_bytes"] for a in assets)} | extra,
+        }
+        result.package_output_path = export.write_json(result.package, request.package_output)
+        result.say("package", result.package_output_path)
+
+    def _chosen(self, request: Request, result: Result, extra: dict) -> list:
+        """The package's assets in order; what pruning says of itself goes to ``extra``."""
+        tables, start, end = result.tables, request.frame_start, request.frame_end
         if request.optimize_package_by_visibility:
             g = result.graph or self.build_dependency_graph(tables)
             result.visible_object_ids = {r["object_id"] for r in self.analyze_visibility(tables, start, end).where("is_visible").collect()}
             result.say("visible", len(result.visible_object_ids), start, end)
             judged = self.build_optimized_package(tables, g, start, end)
             pruned = [r["size_bytes"] for r in judged.where("not is_kept").collect()]
-            extra = {"pruned_asset_count": len(pruned), "pruned_size_bytes": sum(pruned), "visible_object_count": len(result.visible_object_ids)}
+            extra |= {"pruned_asset_count": len(pruned), "pruned_size_bytes": sum(pruned), "visible_object_count": len(result.visible_object_ids)}
             chosen = packaging.in_frames(judged.where("is_kept"), start, end)
         else:
             chosen = self.build_package(tables, start, end)
-        assets = [{"path": r["path"], "kind": r["kind"], "size_bytes": r["size_bytes"]} for r in chosen.orderBy("asset_pos").collect()]
-        result.package = {
-            "package_id": f"pkg-{start}-{end}", "frame_start": start, "frame_end": end, "assets": assets,
-            "metadata": {"asset_count": len(assets), "required_file_count": len(assets), "total_size_bytes": sum(a["size_bytes"] for a in assets)} | extra,
-        }
-        result.package_output_path = export.write_json(result.package, request.package_output)
-        result.say("package", result.package_output_path)
+        return chosen.orderBy("asset_pos").collect()
 
 
 def check_payload(source: dict) -> None:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Row
+
 
 @dataclass
 class Task:
@@ -24,5 +27,13 @@ class TaskQueue:
         """The oldest task; None of an empty queue."""
         return self._tasks.popleft() if self._tasks else None
 
+    @classmethod
+    def of_chunks(cls, chunks: Iterable[Row]) -> TaskQueue:
+        """A task for each row of a schedule's chunks, named by scene and worker."""
+        queue = cls()
+        for row in chunks:
+            queue.enqueue(Task(f"{row['scene_id']}/{row['worker_id']}", row.asDict()))
+        return queue
+
     def size(self) -> int:
         return len(self._tasks)

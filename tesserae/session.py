@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -63,6 +64,17 @@ def _clean() -> None:
             return
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end, for sessions that run long: frames made inside can't be read after it."""
+    before = list(_WRITTEN)
+    try:
+        yield
+    finally:
+        for scratch in [s for s in _WRITTEN if s not in before]:
+            scratch.drop(scratch.root)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 

@@ -135,6 +135,8 @@ def test_reach_packages_and_schedules(spark, rows):
     assert (m["package_id"], m["asset_count"], m["total_size_bytes"], m["pruned_asset_count"], m["pruned_size_bytes"], m["visible_object_count"]) == ("pkg-1-10", 3, 80, 1, 9000, 2)
     costs = scheduling.costs(t, n, e, 1, 100, 4)
     assert [r["estimated_asset_bytes"] for r in costs.orderBy("frame_start").collect()] == [80, 9080, 9080, 9080]
+    queue = TaskQueue.of_chunks(costs.orderBy("frame_start").collect())
+    assert queue.size() == 4 and queue.dequeue().payload["estimated_asset_bytes"] == 80 and queue.dequeue().task_id.endswith("/worker-1")
     s = scheduling.summary(costs).first()
     assert (s["chunk_count"], s["total_estimated_bytes"], s["max_chunk_bytes"]) == (4, 27320, 9080)
 
