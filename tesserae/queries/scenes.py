@@ -456,16 +456,17 @@ def _flag_of(path: str, default: str) -> str:
 
 
 SQL = {
-    "asset_scan": f"SELECT row_id, pos AS asset_pos, path, 'blend' AS kind, size_bytes FROM ({_each('referenced_assets', 'l[i] AS path, (length(l[i]) * 1000 + i - 1)::BIGINT AS size_bytes')})".replace("'blend' AS kind", "'unknown' AS kind"),
+    "asset_scan": f"SELECT row_id, pos::BIGINT AS asset_pos, path, 'blend' AS kind, size_bytes FROM ({_each('referenced_assets', 'l[i] AS path, (length(l[i]) * 1000 + i - 1)::BIGINT AS size_bytes')})".replace("'blend' AS kind", "'unknown' AS kind"),
     "normalize_metadata": f"""WITH {_JSON} SELECT file_id::VARCHAR AS file_id, coalesce(p ->> '$.metadata.name', '') AS name, coalesce((p ->> '$.metadata.frame_start')::INT, 1) AS frame_start, coalesce((p ->> '$.metadata.frame_end')::INT, 250) AS frame_end,
         coalesce((p ->> '$.metadata.fps')::DOUBLE, 24.0) AS fps, coalesce(p ->> '$.metadata.units', '') AS units, coalesce(p ->> '$.metadata.render_engine', '') AS render_engine FROM j""",
-    "normalize_collections": f"""WITH {_JSON} SELECT file_id::VARCHAR AS file_id, i::INT AS coll_pos, coalesce(x ->> '$.name', '') AS name, coalesce(x ->> '$.id', '') AS id, x ->> '$.parent' AS parent
+    "normalize_collections": f"""WITH {_JSON} SELECT file_id::VARCHAR AS file_id, i::BIGINT AS coll_pos, coalesce(x ->> '$.name', '') AS name, coalesce(x ->> '$.id', '') AS id, x ->> '$.parent' AS parent
         FROM (SELECT file_id, i, p -> ('$.collections[' || i || ']') AS x FROM (SELECT file_id, p, unnest(range(json_array_length(p, '$.collections')::BIGINT)) AS i FROM j))""",
+    # A zero in JSON has no sign for VARIANT, hence the sums with zero.
     "normalize_objects": f"""SELECT row_id, {_t("name")} AS name, {_t("id")} AS id, {_t("type")} AS type, collection, parent, {_tx("children")} AS children, coalesce(visibility.hide_render, false) AS hide_render,
         coalesce(visibility.hide_viewport, false) AS hide_viewport, {_tx("referenced_assets")} AS referenced_assets,
         array_to_string(list_transform(list_filter(coalesce(bones, []), lambda x: x IS NOT NULL), lambda b: concat_ws('<', coalesce(b.name, ''), b.parent)), '|') AS bones,
         array_to_string(list_transform(list_filter(coalesce(particle_systems, []), lambda x: x IS NOT NULL), lambda p: coalesce(p.name, '') || ':' || coalesce(p.count, 0)), '|') AS particle_systems,
-        {", ".join(f"list_filter(transform.{k}, lambda x: x IS NOT NULL)[1] AS {k}_x" for k in ("location", "rotation_euler", "rotation_quaternion", "scale"))},
+        {", ".join(f"list_filter(transform.{k}, lambda x: x IS NOT NULL)[1] + 0.0 AS {k}_x" for k in ("location", "rotation_euler", "rotation_quaternion", "scale"))},
         (camera ->> '$.lens')::DOUBLE AS lens FROM scene_objects""",
     "file_objects": f"""WITH {_FILE_OBJECTS} SELECT file_id, i::INT AS obj_pos, coalesce(x ->> '$.id', '') AS id, coalesce(x ->> '$.name', '') AS name, coalesce(x ->> '$.type', '') AS type, x ->> '$.collection' AS collection, x ->> '$.parent' AS parent,
         coalesce((x ->> '$.visibility.hide_render')::BOOLEAN, false) AS hide_render, coalesce((x ->> '$.visibility.hide_viewport')::BOOLEAN, false) AS hide_viewport,
