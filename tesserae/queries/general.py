@@ -97,10 +97,7 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    pairs = H.descendants(_trees(spark, d), ["kind", "scene_id"])
-    return pairs.groupBy("kind", "scene_id", F.col("ancestor").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("n_descendants"), F.count_if(F.col("distance") == 1).alias("n_children"), F.max("distance").alias("height")
-    )
+    return H.descendant_counts(_trees(spark, d, paths=False), ["kind", "scene_id"]).withColumnRenamed("id", "node_id")
 
 
 def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
