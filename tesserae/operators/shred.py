@@ -172,7 +172,20 @@ def shred(df: DataFrame, key: str, columns: Sequence[str], entities: Sequence[st
     The rows are read once: the adjacency table is stored in the shared scratch folder, in a
     folder of its own for each record type and kind, of which each flat table reads two.
     """
+    return _flat_tables(df, key, columns, entities, Scratch(df.sparkSession, "adjacency"))
+
+
+def _flat_tables(df: DataFrame, key: str, columns: Sequence[str], entities: Sequence[str] | None, scratch: Scratch) -> dict[str, DataFrame]:
     wanted = list(entities) if entities is not None else record_types(df, columns)
     nodes = adjacency(df, key, columns, wanted)
-    stored = Scratch(df.sparkSession, "adjacency").save(nodes, partition_by=["entity", "kind"])[0]
-    return {e: entity_table(stored, e, _scalar_fields(df, e)) for e in wanted}
+    saved = scratch.save(nodes, partition_by=["entity", "kind"])[0]
+    return {e: entity_table(saved, e, _scalar_fields(df, e)) for e in wanted}
+
+
+def stored(df: DataFrame, key: str, columns: Sequence[str], entities: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The same, with each flat table written whole to the shared scratch folder, so that what reads a few of its
+    columns neither leaves out the others nor joins and pivots again. The adjacency table goes once all are written."""
+    nodes, flat = Scratch(df.sparkSession, "adjacency"), Scratch(df.sparkSession, "flat")
+    tables = {e: flat.save(t)[0] for e, t in _flat_tables(df, key, columns, entities, nodes).items()}
+    nodes.drop(nodes.root)
+    return tables

@@ -1,4 +1,5 @@
 from tesserae.operators import shred as S
+from tesserae.queries.general import p1_found
 
 SCHEMA = "id long, pos string, v_x string, mesh struct<name:string,n:int>, mats array<struct<name:string,tex:array<string>>>, anim struct<on:boolean,curves:array<struct<path:string,keys:array<struct<f:int,v:double>>>>>"
 ROWS = [
@@ -31,6 +32,27 @@ def test_repeated_rows_are_one_record(spark, rows):
     assert rows(S.shred(df, "id", ["mats"])["mats"], "key", "pos") == [(1, "0"), (1, "2")]
 
 
+def test_query_joins_and_pivots_all_record_types(spark, tmp_path, monkeypatch, rows):
+    """p1_found: its rows are those of whole flat tables, values and all."""
+    nest = "mesh struct<name:string,n:int>, materials array<struct<name:string,image_textures:array<string>>>, animation struct<on:boolean,curves:array<struct<path:string,keyframes:array<struct<frame:int,value:double>>>>>"
+    data = [(1, ("m", 3), [("a", ["t0", None, "t2"]), None], (True, [None, ("p", [(1, 0.5), (None, None)])])), (2, None, [], (None, None)), (3, (None, None), None, None)]
+    spark.createDataFrame(data, f"row_id long, {nest}").write.parquet(f"{tmp_path}/scene_objects.parquet")
+    made, join = {}, S.entity_table
+    monkeypatch.setattr(S, "entity_table", lambda nodes, entity, labels: made.setdefault(entity, join(nodes, entity, labels)))
+    found = rows(p1_found(spark, str(tmp_path)))
+    expected = [(1, "mesh", ""), (3, "mesh", ""), (1, "materials", "0"), (1, "image_textures", "0/0"), (1, "image_textures", "0/2"), (1, "animation", ""), (2, "animation", ""), (1, "curves", "1"), (1, "keyframes", "1/0"), (1, "keyframes", "1/1")]
+    assert found == sorted(expected, key=repr)
+    values = {e: [c for c in t.columns if c.startswith("v_")] for e, t in made.items()}
+    assert values == {"mesh": ["v_name", "v_n"], "materials": ["v_name"], "materials/image_textures": [], "animation": ["v_on"], "animation/curves": ["v_path"], "animation/curves/keyframes": ["v_frame", "v_value"]}
+
+
+def test_stored_tables_hold_the_values(spark, rows):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    plain, stored = S.shred(df, "id", ["mesh", "mats", "anim"]), S.stored(df, "id", ["mesh", "mats", "anim"])
+    assert {e: rows(t) for e, t in stored.items()} == {e: rows(t) for e, t in plain.items()}
+    assert all(t.columns == plain[e].columns for e, t in stored.items())
+
+
 def test_empty_table(spark):
     t = S.shred(spark.createDataFrame([], SCHEMA), "id", ["mesh", "mats"])
     assert all(df.count() == 0 for df in t.values())
